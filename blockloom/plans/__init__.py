@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 
 def registered() -> tuple[dict, dict]:
+    for name in ("blocks", "layout"):
+        import_module(f"blockloom.plans.{name}")
     from blockloom.plans.catalog import ORACLES, QUERIES
 
     return QUERIES, ORACLES

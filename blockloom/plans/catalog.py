@@ -18,3 +18,7 @@ def query(sql: str | None):
         return f
 
     return register
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
