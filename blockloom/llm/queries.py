@@ -6,7 +6,11 @@ from importlib import import_module
 
 #: query -> (module of this package, the SQL's name there or None)
 NAMES = {
+    "op1_quality": ("quality", None),
+    "op2_decontamination": ("decontamination", None),
     "op3_sharding": ("sharding", None),
+    "op4_near_dedup": ("near_dedup", None),
+    "op5_language_id": ("language", None),
     "op6_mixing": ("mixing", "OP6_SQL"),
     "op7_token_counts": ("token_counts", None),
     "op8_secret_scan": ("secrets", None),
