@@ -14,6 +14,7 @@ NAMES = {
     "op6_mixing": ("mixing", "OP6_SQL"),
     "op7_token_counts": ("token_counts", None),
     "op8_secret_scan": ("secrets", None),
+    "op9_embedding_dedup": ("embedding_dedup", "OP9_SQL"),
 }
 
 
