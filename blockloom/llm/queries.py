@@ -15,6 +15,7 @@ NAMES = {
     "op7_token_counts": ("token_counts", None),
     "op8_secret_scan": ("secrets", None),
     "op9_embedding_dedup": ("embedding_dedup", "OP9_SQL"),
+    "op10_suffix_dedup": ("suffix_dedup", None),
 }
 
 
