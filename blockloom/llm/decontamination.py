@@ -112,7 +112,6 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     rows, schema = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id long, item_id long, distance int, end int"
     out = spark.createDataFrame([], schema)
     for items in slices(spark, benchmark, item_id, item_text):
-
         def find(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             m = Matcher(items.value)
             for batch in batches:
@@ -123,18 +122,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return out
 
 
+def holds_none(items: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Matcher(items.value)
+        for texts in batches:
+            yield pd.Series([not m.find(t) for t in texts], dtype=bool)
+
+    return clean
+
+
 def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs whose text holds no item."""
     spark = docs.sparkSession
     for items in slices(spark, benchmark, item_id, item_text):
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], items=items) -> Iterator[pd.Series]:
-            m = Matcher(items.value)
-            for texts in batches:
-                yield pd.Series([not m.find(t) for t in texts], dtype=bool)
-
-        docs = docs.where(clean(F.coalesce(F.col(text), F.lit(""))))
+        docs = docs.where(holds_none(items)(F.coalesce(F.col(text), F.lit(""))))
     return docs
 
 

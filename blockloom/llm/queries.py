@@ -20,7 +20,8 @@ NAMES = {
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"blockloom.llm.{module}"), name) for name, (module, _) in NAMES.items()}
+    own = {name: getattr(import_module(f"blockloom.llm.{module}"), name) for name, (module, _) in NAMES.items()}
+    return own | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
