@@ -136,3 +136,18 @@ def inspect(parts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
 
     out = parsed(parts, rows, "volume string, executable string, title_id long, disc_number int, disc_count int, version long")
     return out.join(titles.select("title_id", F.col("name").alias("title")), "title_id", "left") if titles is not None else out
+
+
+def package_files(parts: DataFrame) -> DataFrame:
+    """(source_id, path, size, content) of packages' files."""
+    return parsed(parts, lambda names, data: X.stfs_files(data[0]), "path string, size long, content binary")
+
+
+def hash_tree_sectors(parts: DataFrame) -> DataFrame:
+    """(source_id, sector_no, data) of hash-tree parts, in the order of the numbers in their names."""
+
+    def rows(names: list[str], data: list[bytes]) -> list[tuple]:
+        image = X.read_god(data)
+        return [(i // X.SECTOR, image[i : i + X.SECTOR]) for i in range(0, len(image), X.SECTOR)]
+
+    return parsed(parts, rows, "sector_no long, data binary")

@@ -441,3 +441,170 @@ def xdbf_find(data: bytes, entry: int, section: int, most: int = 65536) -> bytes
             need(base + offset + size <= len(data), "resource reaches past the data")
             return data[base + offset : base + offset + size]
     return None
+
+
+# --- hash-tree containers
+
+BLOCK, SUB_BLOCKS, PART_SUBS = 4096, 204, 203
+
+
+def hash_list(digests: list[bytes]) -> bytes:
+    return b"".join(digests).ljust(BLOCK, b"\0")
+
+
+def chain_digest(block: bytes, digest: bytes) -> bytes:
+    """A hash list with one more digest after its last."""
+    used = next((i for i in range(0, BLOCK, 20) if block[i : i + 20] == bytes(20) or i + 20 > BLOCK), BLOCK)
+    need(used + 20 <= BLOCK, "hash list is full")
+    return block[:used] + digest + block[used + 20 :]
+
+
+def write_god(image: bytes, subs: int = PART_SUBS, blocks: int = SUB_BLOCKS) -> tuple[list[bytes], bytes]:
+    """Parts and the digest of the first one's master list. Each part has a master list of its sublists' digests, and a
+    sublist before its blocks; from the last part to the first, each master list also gets the digest of the next."""
+    data = [image[i : i + BLOCK].ljust(BLOCK, b"\0") for i in range(0, len(image), BLOCK)] or [bytes(BLOCK)]
+    parts = []
+    for lo in range(0, len(data), subs * blocks):
+        body, sublists = bytearray(), []
+        for s in range(lo, min(lo + subs * blocks, len(data)), blocks):
+            own = data[s : min(s + blocks, lo + subs * blocks)]
+            sublist = hash_list([hashlib.sha1(b).digest() for b in own])
+            sublists.append(hashlib.sha1(sublist).digest())
+            body += sublist + b"".join(own)
+        parts.append([hash_list(sublists), bytes(body)])
+    for p, after in zip(parts[-2::-1], parts[:0:-1]):
+        p[0] = chain_digest(p[0], hashlib.sha1(after[0]).digest())
+    return [m + b for m, b in parts], hashlib.sha1(parts[0][0]).digest()
+
+
+def read_god(parts: list[bytes], subs: int = PART_SUBS, blocks: int = SUB_BLOCKS) -> bytes:
+    """The data blocks of parts in order; every part but the last must be full."""
+    out = bytearray()
+    full = BLOCK * (1 + subs * (blocks + 1))
+    for i, part in enumerate(parts):
+        need(len(part) % BLOCK == 0 and len(part) > 2 * BLOCK, "part isn't in whole blocks")
+        need(len(part) == full or i == len(parts) - 1, "a part before the last isn't full")
+        for at in range(BLOCK, len(part), BLOCK * (blocks + 1)):
+            out += part[at + BLOCK : at + BLOCK * (blocks + 1)]
+    return bytes(out)
+
+
+def verify_god(parts: list[bytes], blocks: int = SUB_BLOCKS) -> str:
+    """Empty if all digests hold, else what doesn't."""
+    for i, part in enumerate(parts):
+        for k, at in enumerate(range(BLOCK, len(part), BLOCK * (blocks + 1))):
+            sublist = part[at : at + BLOCK]
+            if hashlib.sha1(sublist).digest() != part[20 * k : 20 * k + 20]:
+                return f"sublist {k} of part {i}"
+            for j, lo in enumerate(range(at + BLOCK, min(at + BLOCK * (blocks + 1), len(part)), BLOCK)):
+                if hashlib.sha1(part[lo : lo + BLOCK]).digest() != sublist[20 * j : 20 * j + 20]:
+                    return f"block {j} of sublist {k} of part {i}"
+    return ""
+
+
+# --- packages' files
+
+STFS_GROUP, STFS_END = 170, 0xFFFFFF
+
+
+def stfs_backing(block: int, shift: int) -> int:
+    """Physical block of a logical one: a table of 1 << shift blocks for every 170, another for every 170 * 170."""
+    out = ((block + STFS_GROUP) // STFS_GROUP << shift) + block
+    if block < STFS_GROUP:
+        return out
+    out += (block + STFS_GROUP**2) // STFS_GROUP**2 << shift
+    return out if block < STFS_GROUP**2 else out + (1 << shift)
+
+
+def stfs_files(data: bytes) -> list[tuple[str, int, bytes]]:
+    """(path, size, content) of a package's files. Blocks of one file are consecutive if its entry says so, else each
+    block's hash record names the next."""
+    h = stfs_header(data)
+    base, shift = h["header_size"] + pad_to(h["header_size"], BLOCK), 1 - (h["block_separation"] & 1)
+
+    def address(block: int) -> int:
+        need(block < h["allocated_blocks"], "block lies outside the package")
+        at = base + stfs_backing(block, shift) * BLOCK
+        need(at + BLOCK <= len(data), "block reaches past the file")
+        return at
+
+    def following(block: int) -> int:
+        first = block - block % STFS_GROUP
+        table = base + (stfs_backing(first, shift) - (1 << shift) + (h["block_separation"] >> 1 & shift)) * BLOCK
+        record = table + 24 * (block % STFS_GROUP)
+        return int.from_bytes(data[record + 21 : record + 24], "big")
+
+    def chain(block: int, n: int, consecutive: bool) -> bytes:
+        out, seen = bytearray(), set()
+        for i in range(n):
+            need(block not in seen, "block chain runs in a circle")
+            seen.add(block)
+            at = address(block)
+            out += data[at : at + BLOCK]
+            if i + 1 < n:
+                block = block + 1 if consecutive else following(block)
+                need(block != STFS_END, "block chain ends early")
+        return bytes(out)
+
+    table, block = bytearray(), h["file_table_block"]
+    for _ in range(h["file_table_blocks"]):
+        at = address(block)
+        table += data[at : at + BLOCK]
+        block = following(block)
+        if block == STFS_END:
+            break
+    entries = {e[0]: e for e in stfs_entries(bytes(table))}
+    out = []
+    for _, name, parent, is_dir, consecutive, first, size in entries.values():
+        if is_dir:
+            continue
+        path, depth = [name], 0
+        while parent != 0xFFFF:
+            need(parent in entries and entries[parent][3] and depth < 4096, "parent is missing, no folder, or too deep")
+            path.append(entries[parent][1])
+            parent, depth = entries[parent][2], depth + 1
+        need(all(map(safe, path)), "unsafe name")
+        out.append(("/".join(reversed(path)), size, chain(first, -(-size // BLOCK), consecutive)[:size]))
+    return out
+
+
+def write_stfs(files: dict[str, bytes], title_id: int = 0, content_type: int = 1, name: str = "") -> bytes:
+    """An unsigned read-only package: file table, then each file's blocks in sequence; an empty file takes one block.
+    Hash tables of one level, so at most 170 blocks."""
+    rows, folders, blocks = [], {}, []
+    for path in files:
+        *dirs, last = path.split("/")
+        need(all(map(safe, (*dirs, last))), "unsafe path")
+        for k in range(len(dirs)):
+            if tuple(dirs[: k + 1]) not in folders:
+                folders[tuple(dirs[: k + 1])] = len(rows)
+                rows.append((dirs[k], folders.get(tuple(dirs[:k]), 0xFFFF), None))
+        rows.append((last, folders.get(tuple(dirs), 0xFFFF), files[path]))
+    n_table = max(1, -(-len(rows) // 64))
+    table, chains, at = bytearray(), [list(range(n_table))], n_table
+    for label, parent, content in rows:
+        raw = label.encode()[:0x28]
+        need(len(raw) == len(label.encode()), "name is longer than a slot")
+        n = 0 if content is None else max(1, -(-len(content) // BLOCK))
+        flags = 0x80 if content is None else 0x40
+        count = n.to_bytes(3, "little")
+        table += raw.ljust(0x28, b"\0") + bytes([len(raw) | flags]) + count + count + (at if n else 0).to_bytes(3, "little") + parent.to_bytes(2, "big") + len(content or b"").to_bytes(4, "big") + bytes(8)
+        if n:
+            blocks += [content[i : i + BLOCK].ljust(BLOCK, b"\0") for i in range(0, max(1, len(content)), BLOCK)]
+            chains.append(list(range(at, at + n)))
+            at += n
+    need(at <= STFS_GROUP, "more blocks than one hash table holds")
+    body = [table[i : i + BLOCK].ljust(BLOCK, b"\0") for i in range(0, n_table * BLOCK, BLOCK)] + blocks
+    after = {b: c[i + 1] if i + 1 < len(c) else STFS_END for c in chains for i, b in enumerate(c)}
+    records = b"".join(hashlib.sha1(bytes(b)).digest() + b"\x80" + after[i].to_bytes(3, "big") for i, b in enumerate(body)).ljust(BLOCK, b"\0")
+    head = bytearray(0xB000)
+    head[:4] = b"LIVE"
+    struct.pack_into(">III", head, 0x340, 0xAD0E, content_type, 2)
+    struct.pack_into(">I", head, 0x360, title_id)
+    head[0x379:0x37C] = bytes([0x24, 0, 1])
+    head[0x37C:0x381] = n_table.to_bytes(2, "little") + (0).to_bytes(3, "little")
+    head[0x381:0x395] = hashlib.sha1(records).digest()
+    struct.pack_into(">I", head, 0x395, at)
+    title = name.encode("utf-16-be")[:254]
+    head[0x411 : 0x411 + len(title)] = title
+    return bytes(head) + records + b"".join(map(bytes, body))

@@ -58,3 +58,12 @@ def zero_unused(sectors: DataFrame, used: DataFrame) -> DataFrame:
     """Sectors that no entry claims are replaced by zeros: used has (source_id, sector_no)."""
     marked = sectors.join(used.distinct().withColumn("_used", F.lit(True)), ["source_id", "sector_no"], "left")
     return marked.withColumn("data", F.when(F.col("_used"), F.col("data")).otherwise(F.unhex(F.lit("00" * X.SECTOR)))).drop("_used")
+
+
+def to_hash_tree(sectors: DataFrame) -> DataFrame:
+    """Parts Data0000, Data0001, … of a hash-tree container."""
+    return assemble(sectors, "sector_no", lambda s, g: [(f"Data{i:04d}", len(p), p) for i, p in enumerate(X.write_god(b"".join(g["data"]))[0])])
+
+
+def to_package(files: DataFrame) -> DataFrame:
+    return assemble(files, "path", lambda s, g: [(f"{s}.pkg", len(p), p) for p in [X.write_stfs(dict(zip(g["path"], map(bytes, g["content"]))), name=s)]])

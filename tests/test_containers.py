@@ -143,3 +143,28 @@ def test_package_listing():
     slot = lambda name, flags, parent: name.ljust(0x28, b"\0") + bytes([len(name) | flags]) + bytes(6) + (5).to_bytes(3, "little") + parent.to_bytes(2, "big") + (10).to_bytes(4, "big") + bytes(8)
     table = slot(b"dir", 0x80, 0xFFFF) + bytes(64) + slot(b"f.bin", 0x40, 0)
     assert formats.stfs_entries(table) == [(0, "dir", 0xFFFF, True, False, 5, 10), (2, "f.bin", 0, False, True, 5, 10)]
+
+
+def test_hash_tree_round_trip():
+    data = random.Random(4).randbytes(4096 * 37)
+    parts, top = formats.write_god(data, subs=3, blocks=4)
+    assert len(parts) == 4 and formats.read_god(parts, 3, 4) == data and formats.verify_god(parts, 4) == ""
+    import hashlib
+
+    for p, after in zip(parts, parts[1:]):
+        assert p[60:80] == hashlib.sha1(after[:4096]).digest()
+    assert top == hashlib.sha1(parts[0][:4096]).digest()
+    assert formats.verify_god([parts[0][:-1] + b"\0", *parts[1:]], 4) != ""
+
+
+def test_package_round_trip(spark):
+    files = {"a/b/c.txt": b"one", "a/d.bin": bytes(9000), "e": b""}
+    data = formats.write_stfs(files, 7, name="A name")
+    assert {p: c for p, _, c in formats.stfs_files(data)} == files
+    assert formats.stfs_header(data)["display_name"] == "A name"
+    df = spark.createDataFrame([("p", k, v) for k, v in files.items()], "source_id string, path string, content binary")
+    out = containers.package_files(sinks.to_package(df).select("source_id", "name", "content"))
+    assert {(r.path, bytes(r.content)) for r in out.collect()} == set(files.items())
+    sectors = spark.createDataFrame([("g", i, bytes([i]) * 2048) for i in range(8)], "source_id string, sector_no long, data binary")
+    back = containers.hash_tree_sectors(sinks.to_hash_tree(sectors).select("source_id", "name", "content"))
+    assert [bytes(r.data) for r in back.orderBy("sector_no").collect()] == [bytes([i]) * 2048 for i in range(8)]
