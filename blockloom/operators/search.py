@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import permutations
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 NODES, FRAGMENTS, ORDERINGS = 20_000, 8, 2_000
 
 
@@ -63,3 +66,15 @@ def orderings(items: tuple, most: int = ORDERINGS) -> Iterator[tuple]:
         if n == most:
             return
         yield p
+
+
+def search_groups(groups: DataFrame, key: str, sizes: str, target: int, exact: bool = True, most: int = FRAGMENTS) -> DataFrame:
+    """From one row a group, with its sizes in an array: key, k (fragments in the least subset) and subsets (how many).
+    Groups come in Arrow batches, many to a call; those without a match give no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(g, len(found[0]), len(found)) for g, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (found := matching_subsets(s, target, exact, most))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))], [key, "k", "subsets"])
+
+    return groups.select(key, sizes).mapInArrow(run, f"{key} long, k int, subsets long")

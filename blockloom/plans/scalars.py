@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from blockloom.functions import bits as B
 from blockloom.operators.layout import global_offset
-from blockloom.operators.search import matching_subsets
+from blockloom.operators.search import search_groups
 from blockloom.operators.trees import build_paths, number_level
 from blockloom.plans.catalog import query, table
 
@@ -160,12 +159,10 @@ UNION ALL SELECT a.o, 3, count(*) FROM {_L} a JOIN {_L} b ON a.o = b.o AND a.i <
 
 @query(f"SELECT o AS l_orderkey, CAST(arg_min(k, k) AS INTEGER) AS k, CAST(arg_min(n, k) AS BIGINT) AS subsets FROM ({_SUBSETS}) GROUP BY o")
 def q_subset_sum(spark, sf_dir):
-    def search(items: pd.DataFrame) -> pd.DataFrame:
-        found = matching_subsets(items["q"].tolist(), 60, most=3)
-        return pd.DataFrame({"l_orderkey": items["l_orderkey"].iloc[:1], "k": len(found[0]), "subsets": len(found)}) if found else pd.DataFrame({"l_orderkey": [], "k": [], "subsets": []})
-
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q"))
-    return items.groupBy("l_orderkey").applyInPandas(search, "l_orderkey long, k int, subsets long")
+    # orders whose items can't reach the target never leave the JVM
+    q = F.col("l_quantity").cast("long")
+    groups = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(q).alias("sizes"), F.sum(q).alias("total")).where("total >= 60")
+    return search_groups(groups, "l_orderkey", "sizes", 60, most=3)
 
 
 @query(f"""WITH t AS (SELECT o FROM {_L} GROUP BY o HAVING count(*) = 3)
