@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -95,3 +98,61 @@ def unswizzle(width: int, height: int, data: bytes, pixel: int) -> np.ndarray:
             shift += 1
         bit <<= 1
     return np.frombuffer(data[: width * height * pixel], dtype=np.uint8).reshape(-1, pixel)[at]
+
+
+def dxt3(width: int, height: int, data: bytes) -> np.ndarray:
+    """As dxt1 with four colours always, and four bits of opacity a pixel before each block's colours."""
+    if width % 4 or height % 4 or len(data) < width * height:
+        raise ValueError("texture is short or not in whole blocks")
+    b = np.frombuffer(data[: width * height], dtype=np.uint8).reshape(-1, 16).astype(np.uint32)
+    p0, p1 = colours_565(b[:, 8] | b[:, 9] << 8), colours_565(b[:, 10] | b[:, 11] << 8)
+    table = np.stack([p0, p1, (2 * p0 + p1) // 3, (p0 + 2 * p1) // 3], axis=1)
+    bits = b[:, 12] | b[:, 13] << 8 | b[:, 14] << 16 | b[:, 15] << 24
+    pick = (bits[:, None] >> np.arange(0, 32, 2, dtype=np.uint32)) & 3
+    clear = np.stack([b[:, :8] & 15, b[:, :8] >> 4], axis=-1).reshape(-1, 16) * 17
+    pixels = np.concatenate([table[np.arange(len(b))[:, None], pick], clear[..., None]], axis=-1)
+    return pixels.reshape(height // 4, width // 4, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(height, width, 4).astype(np.uint8)
+
+
+def from_words(words: np.ndarray, code: int) -> np.ndarray:
+    """RGBA of 16-bit pixels: 2 is 1-5-5-5, 4 is 4-4-4-4, 5 is 5-6-5; channels are shifted up, low bits left zero."""
+    w = words.astype(np.uint32)
+    if code == 2:
+        parts = [(w >> 10 & 31) << 3, (w >> 5 & 31) << 3, (w & 31) << 3, (w >> 15) * 255]
+    elif code == 4:
+        parts = [(w >> 8 & 15) << 4, (w >> 4 & 15) << 4, (w & 15) << 4, (w >> 12) << 4]
+    else:
+        parts = [(w >> 11) << 3, (w >> 5 & 63) << 2, (w & 31) << 3, np.full_like(w, 255)]
+    return np.stack(parts, axis=-1).astype(np.uint8)
+
+
+def xpr_pixels(data: bytes, most: int = 1024) -> np.ndarray:
+    """RGBA pixels of a packed texture resource: square, of a power of two up to most."""
+    if len(data) < 32 or data[:4] != b"XPR0":
+        raise ValueError("no texture resource")
+    header, word = int.from_bytes(data[8:12], "little"), int.from_bytes(data[24:28], "little")
+    code, side = word >> 8 & 0xFF, 1 << (word >> 20 & 15)
+    if side > most or header > len(data):
+        raise ValueError("texture is too large or cut off")
+    body = data[header:]
+    if code == 0x0C:
+        return dxt1(side, side, body)
+    if code == 0x0E:
+        return dxt3(side, side, body)
+    if code in (2, 4, 5):
+        return from_words(unswizzle(side, side, body, 2).copy().view("<u2")[..., 0], code)
+    if code in (6, 7):
+        bgra = unswizzle(side, side, body, 4)
+        out = bgra[..., [2, 1, 0, 3]].copy()
+        if code == 7:
+            out[..., 3] = 255
+        return out
+    raise ValueError(f"texture format {code} isn't known")
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG file of RGBA pixels."""
+    height, width, _ = pixels.shape
+    rows = b"".join(b"\0" + r.tobytes() for r in np.ascontiguousarray(pixels, dtype=np.uint8))
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")

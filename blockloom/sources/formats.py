@@ -608,3 +608,18 @@ def write_stfs(files: dict[str, bytes], title_id: int = 0, content_type: int = 1
     title = name.encode("utf-16-be")[:254]
     head[0x411 : 0x411 + len(title)] = title
     return bytes(head) + records + b"".join(map(bytes, body))
+
+
+def xbe_sections(data: bytes, most: int = 4096) -> dict[str, bytes]:
+    """An executable's sections by name; addresses are less the image's base."""
+    need(len(data) >= 0x124 and data[:4] == b"XBEH", "no executable header")
+    base, n, at = struct.unpack_from("<I", data, 0x104)[0], *struct.unpack_from("<II", data, 0x11C)
+    at -= base
+    need(n <= most and 0 <= at and at + 56 * n <= len(data), "section table lies outside the file")
+    out = {}
+    for i in range(n):
+        raw, size, name = struct.unpack_from("<III", data, at + 56 * i + 12)
+        name -= base
+        need(0 <= name < len(data) and raw + size <= len(data), "section lies outside the file")
+        out[data[name : name + 64].split(b"\0")[0].decode("latin-1")] = data[raw : raw + size]
+    return out

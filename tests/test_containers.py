@@ -168,3 +168,19 @@ def test_package_round_trip(spark):
     sectors = spark.createDataFrame([("g", i, bytes([i]) * 2048) for i in range(8)], "source_id string, sector_no long, data binary")
     back = containers.hash_tree_sectors(sinks.to_hash_tree(sectors).select("source_id", "name", "content"))
     assert [bytes(r.data) for r in back.orderBy("sector_no").collect()] == [bytes([i]) * 2048 for i in range(8)]
+
+
+def test_textures_and_sections():
+    body = bytes(range(64))
+    head = lambda code, side: b"XPR0" + struct.pack("<II", 32 + 64, 32) + bytes(12) + struct.pack("<II", code << 8 | side << 20 | side << 24, 0)
+    for code, side, size in ((0x06, 2, 64), (0x07, 2, 64), (0x05, 2, 32), (0x02, 2, 32), (0x04, 2, 32), (0x0C, 2, 8), (0x0E, 2, 16)):
+        px = codecs.xpr_pixels(head(code, side) + body[:size])
+        assert px.shape == (4, 4, 4) and codecs.png(px)[:8] == b"\x89PNG\r\n\x1a\n"
+    assert codecs.xpr_pixels(head(0x07, 2) + body)[0, 0].tolist() == [2, 1, 0, 255]
+    with pytest.raises(ValueError):
+        codecs.xpr_pixels(head(0x33, 2) + body)
+    exe = bytearray(xbe(size=0x800))
+    struct.pack_into("<II", exe, 0x11C, 1, 0x10000 + 0x400)
+    struct.pack_into("<III", exe, 0x400 + 12, 0x600, 5, 0x10000 + 0x500)
+    exe[0x500:0x506], exe[0x600:0x605] = b".text\0", b"hello"
+    assert formats.xbe_sections(bytes(exe)) == {".text": b"hello"}
