@@ -7,13 +7,13 @@ and deals its sets out by their minwise value there. A node of at most LEAF sets
 trees follows from the target recall: a pair at the threshold stays together in a tree with the survival chance of the
 branching process.
 
-A node that a further choice hardly shrinks holds sets that are alike. Its sets are compared in blocks together with
+A node that STUCK choices on end hardly shrank holds sets that are alike. Its sets are compared in blocks together with
 common pivots, which links almost all of them. Those that are then not of the node's main component are compared with
 every set of the node, so that no pair that meets in such a node is lost, whatever its size.
 
 Comparison is in two steps: sketches tell which sets of a leaf may be linked (five standard deviations below the
-threshold), and the full sets, made again from the whole texts, confirm each link. Sets that are already in one
-component needn't be compared again, so a large group of copies costs steps in proportion to its size.
+threshold), and the full sets, made again from the whole texts, confirm each link: all intersections of a list of at
+most LEAF sets are one product of the matrix that says which set holds which shingle.
 
 Null, empty and blank texts have no shingles and stand alone. Rows that repeat an id are one vertex. A null id stands
 alone with a null component. An empty table gives an empty result. Only doc_id and text are read."""
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import Scratch, components, partitions, runs, table
 
-WORDS, COORDINATES, LEAF, DEPTH, BRANCH, RECALL = 5, 64, 48, 14, 0.3, 0.99999
-PIVOTS, PIVOT_TREES, ALIKE, REMEMBERED = 12, 3, 0.75, 200_000
+WORDS, COORDINATES, LEAF, DEPTH, BRANCH, RECALL = 5, 64, 512, 14, 0.3, 0.99999
+PIVOTS, PIVOT_TREES, ALIKE, STUCK, FEW, REMEMBERED = 16, 3, 0.9, 2, 6, 200_000
 U = np.uint64
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -120,7 +120,7 @@ def first_level(trees: int):
             ids, values = batch.column("id").to_numpy(), matrix(batch)
             for t in range(trees):
                 keys, rows = branch(np.full(len(ids), U((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), values)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[rows]), pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), 1 << 60, np.int64))], ["key", "id", "tree", "parent"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[rows]), pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), 1 << 60, np.int64)), pa.array(np.zeros(len(rows), np.int32))], ["key", "id", "tree", "parent", "stuck"])
 
     return run
 
@@ -128,10 +128,10 @@ def first_level(trees: int):
 def next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, rows = branch(batch.column("key").to_numpy().view(np.uint64), matrix(batch))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(batch.column(c).to_numpy()[rows]) for c in ("id", "tree", "n")]], ["key", "id", "tree", "parent"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(batch.column(c).to_numpy()[rows]) for c in ("id", "tree", "n", "stuck")]], ["key", "id", "tree", "parent", "stuck"])
 
 
-LEVEL = "key long, id long, tree int, parent long"
+LEVEL = "key long, id long, tree int, parent long, stuck int"
 
 
 class Union:
@@ -156,11 +156,13 @@ def promising(threshold: float):
         lists, roots, members = [], [], []
         for part in runs(batches, "list"):
             part = part.combine_chunks().to_batches()[0]
-            ids, s = part.column("id").to_numpy(), matrix(part)
-            groups = Union(len(ids))
-            for i in range(len(ids) - 1):
-                for j in np.flatnonzero((s[i + 1 :] == s[i]).sum(axis=1) >= least).tolist():
-                    groups.join(i, i + 1 + j)
+            ids, s = part.column("id").to_numpy(), matrix(part).astype(np.uint8)  # the low byte tells values apart well enough here
+            groups, step = Union(len(ids)), max(1, (1 << 22) // (COORDINATES * len(ids)))
+            for lo in range(0, len(ids), step):
+                same = (s[lo : lo + step, None, :] == s[None, lo:, :]).sum(axis=2, dtype=np.uint8)
+                for i, j in zip(*np.nonzero(same >= least)):
+                    if i < j:
+                        groups.join(lo + int(i), lo + int(j))
             of = [groups.root(i) for i in range(len(ids))]
             size = np.bincount(of, minlength=len(ids))
             at = [i for i in range(len(ids)) if size[of[i]] > 1]
@@ -186,20 +188,56 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return len(a) > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections; only shingles that two sets share take part, a stretch of them at a time."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.concatenate(([True], flat[1:] != flat[:-1]))
+    number = np.cumsum(starts) - 1
+    shared = np.bincount(number) > 1
+    keep = shared[number]
+    number, owner = (np.cumsum(shared) - 1)[number[keep]], owner[keep]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(number, (lo, lo + 4096))
+        member = np.zeros((len(sets), 4096), dtype=np.float32)
+        member[owner[a:b], number[a:b] - lo] = 1
+        out += member @ member.T
+    return out
+
+
+def connect(sets: list[np.ndarray], percent: int) -> list[int]:
+    """For each set the first one of its component under links within the list."""
+    n = len(sets)
+    if n <= FEW:
+        groups = Union(n)
+        for j in range(1, n):
+            for i in range(j):
+                if groups.root(i) != groups.root(j) and linked(sets[i], sets[j], percent):
+                    groups.join(i, j)
+        return [groups.root(i) for i in range(n)]
+    both, size = intersections(sets), np.array([len(x) for x in sets])
+    near = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (size > 0)[:, None] & (size > 0)[None, :]
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root, np.where(near, root[None, :], n).min(axis=1))
+        if (low == root).all():
+            return root.tolist()
+        root = low
+
+
 def confirm(percent: int):
     """Links that connect each list as its full sets do: at most one fewer than its sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, a, b = Shingler(), [], []
         for part in runs(batches, "list"):
-            ids, sets = part.column("id").to_pylist(), [shingle(x.as_py()) for x in part.column("text")]
-            groups = Union(len(ids))
-            for j in range(1, len(ids)):
-                for i in range(j):
-                    if ids[i] != ids[j] and groups.root(i) != groups.root(j) and linked(sets[i], sets[j], percent):
-                        groups.join(i, j)
-                        a.append(ids[i])
-                        b.append(ids[j])
+            ids = part.column("id").to_pylist()
+            root = connect([shingle(x.as_py()) for x in part.column("text")], percent)
+            at = [i for i in range(len(ids)) if root[i] != i and ids[i] != ids[root[i]]]
+            a += [ids[root[i]] for i in at]
+            b += [ids[i] for i in at]
             if len(a) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -223,12 +261,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     spent: list[DataFrame] = []
     for depth in range(DEPTH):
         level = scratch.write(level, "level")
-        counts = scratch.write(level.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("of")).where("n > 1"), "counts")
+        counts = scratch.write(level.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("of"), F.first("stuck").alias("before")).where("n > 1").withColumn("stuck", F.when(F.col("n") >= F.col("of") * ALIKE, F.col("before") + 1).otherwise(0)), "counts")
         spent += [level, counts]
         here = level.join(counts.where(F.col("n") <= LEAF).select("key"), "key").select("key", "id")
         leaves = here if leaves is None else leaves.unionByName(here)
-        # a node that a choice hardly shrank, or the last one, is compared in blocks
-        stop = F.lit(depth == DEPTH - 1) | (F.col("n") >= F.col("of") * ALIKE)
+        # a node that choices hardly shrink, or of the last level, is compared in blocks
+        stop = F.lit(depth == DEPTH - 1) | (F.col("stuck") >= STUCK)
         large = counts.where(F.col("n") > LEAF).withColumn("stop", stop)
         found = {r["stop"]: r["count"] for r in large.groupBy("stop").count().collect()}
         if found.get(True):
@@ -236,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
             alike = more if alike is None else alike.unionByName(more)
         if not found.get(False):
             break
-        level = level.join(large.where("NOT stop").select("key", "n"), "key").join(sets, "id").select("key", "id", "tree", "n", "sketch").mapInArrow(next_level, LEVEL)
+        level = level.join(large.where("NOT stop").select("key", "n", F.col("stuck").alias("s")), "key").join(sets, "id").select("key", "id", "tree", "n", F.col("s").alias("stuck"), "sketch").mapInArrow(next_level, LEVEL)
 
     # leaves of equal members, from other trees or choices, are compared once
     members = leaves.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()

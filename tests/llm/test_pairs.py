@@ -49,7 +49,9 @@ def copies(seed=1, families=12, alone=40, group=130):
     return texts
 
 
-def test_op4_equals_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("leaf", [near_dedup.LEAF, 24])
+def test_op4_equals_brute_force(spark, tmp_path, monkeypatch, leaf):
+    monkeypatch.setattr(near_dedup, "LEAF", leaf)  # small leaves: nodes of copies are compared in blocks
     texts = AWKWARD + copies() + ["A b C d E", "a B c D e"]
     sets = [shingles(t) for t in texts]
     want = closure(len(texts), lambda i, j: bool(sets[i]) and bool(sets[j]) and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
@@ -70,6 +72,13 @@ def test_tree_count_meets_recall():
         assert (1 - near_dedup.survival(s, near_dedup.DEPTH)) ** near_dedup.tree_count(s) <= 1 - near_dedup.RECALL + 1e-12
 
 
+def test_intersections_equal_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 50, 5000, 8000, 8000)]
+    got = near_dedup.intersections(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(6) for j in range(6) if i != j)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc ", max_size=30), st.text("abc ", min_size=1, max_size=12), st.integers(0, 5))
 def test_myers_equals_dynamic_programming(text, pattern, most):
