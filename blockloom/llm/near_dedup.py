@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import Scratch, components, partitions, runs, table
 
-WORDS, COORDINATES, LEAF, DEPTH, BRANCH, RECALL = 5, 64, 512, 14, 0.3, 0.99999
+WORDS, COORDINATES, LEAF, DEPTH, BRANCH, RECALL = 5, 64, 1024, 14, 0.3, 0.9999
 PIVOTS, PIVOT_TREES, ALIKE, STUCK, FEW, REMEMBERED = 16, 3, 0.9, 2, 6, 200_000
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -125,10 +125,19 @@ def first_level(trees: int):
     return run
 
 
-def next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, rows = branch(batch.column("key").to_numpy().view(np.uint64), matrix(batch))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(batch.column(c).to_numpy()[rows]) for c in ("id", "tree", "n", "stuck")]], ["key", "id", "tree", "parent", "stuck"])
+def next_level(leaf: int):
+    """Children of large nodes; the largest make two choices at once, so that fewer rounds are needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, n = matrix(batch), batch.column("n").to_numpy()
+            keys, rows = branch(batch.column("key").to_numpy().view(np.uint64), values)
+            again = n[rows] > 2 * leaf
+            more, of = branch(keys[again], values[rows[again]])
+            keys, rows, parent = np.concatenate((keys[~again], more)), np.concatenate((rows[~again], rows[again][of])), np.concatenate((n[rows[~again]], (n[rows[again][of]] * ALIKE).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(batch.column(c).to_numpy()[rows]) for c in ("id", "tree")], pa.array(parent), pa.array(batch.column("stuck").to_numpy()[rows])], ["key", "id", "tree", "parent", "stuck"])
+
+    return run
 
 
 LEVEL = "key long, id long, tree int, parent long, stuck int"
@@ -246,6 +255,13 @@ def confirm(percent: int):
     return run
 
 
+def by_id(rows: DataFrame, value: str, other: DataFrame) -> DataFrame:
+    """rows (id, value) joined with other on id. An id's values, as many as the trees' choices make, go through the join as
+    one row."""
+    each = rows.groupBy("id").agg(F.collect_list(value).alias(f"{value}s"))
+    return each.join(other, "id").withColumn(value, F.explode(f"{value}s")).drop(f"{value}s")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; links are 100 * intersection >= percent * union."""
     spark, threshold = docs.sparkSession, percent / 100
@@ -274,12 +290,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
             alike = more if alike is None else alike.unionByName(more)
         if not found.get(False):
             break
-        level = level.join(large.where("NOT stop").select("key", "n", F.col("stuck").alias("s")), "key").join(sets, "id").select("key", "id", "tree", "n", F.col("s").alias("stuck"), "sketch").mapInArrow(next_level, LEVEL)
+        rest = level.join(large.where("NOT stop").select("key", "n", F.col("stuck").alias("s")), "key").select("id", F.struct("key", "tree", "n", F.col("s").alias("stuck")).alias("node"))
+        level = by_id(rest, "node", sets).select("node.*", "id", "sketch").mapInArrow(next_level(LEAF), LEVEL)
 
     # leaves of equal members, from other trees or choices, are compared once
     members = leaves.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
     lists = members.select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("id"))
-    near = lists.join(sets, "id").select("list", "id", "sketch").repartition(n_parts, "list").sortWithinPartitions("list", "id")
+    near = by_id(lists, "list", sets).select("list", "id", "sketch").repartition(n_parts, "list").sortWithinPartitions("list", "id")
     maybe = scratch.write(near.mapInArrow(promising(threshold), "list long, root long, id long"), "maybe")
     if alike is not None:
         alike = scratch.write(alike, "alike")
@@ -299,7 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
         todo = todo.unionByName(blocks).unionByName(pivots.select(F.xxhash64("key", "c").alias("list"), "id")).distinct()
 
     def links(lists: DataFrame) -> DataFrame:
-        with_text = lists.join(rows.select(F.col("doc_id").alias("id"), "text"), "id").select("list", "id", "text")
+        with_text = by_id(lists, "list", rows.select(F.col("doc_id").alias("id"), "text")).select("list", "id", "text")
         return scratch.write(with_text.repartition(n_parts, "list").sortWithinPartitions("list", "id").mapInArrow(confirm(percent), "a long, b long"), "links")
 
     edges = links(todo)
