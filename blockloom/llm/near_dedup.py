@@ -2,17 +2,18 @@
 
 A document's set holds the hashes of its distinct shingles of five words (fewer words: the whole sequence as one).
 Equal sets are one vertex from the start. Each set has a sketch of COORDINATES minwise values. In each of several
-independent trees all sets start in one node; a node chooses one coordinate, or with chance BRANCH two, by its own hash
-and deals its sets out by their minwise value there. A node of at most LEAF sets is compared exhaustively. The number of
-trees follows from the target recall: a pair at the threshold stays together in a tree with the survival chance of the
-branching process.
+trees all sets start in one node; a node chooses one coordinate, or with chance BRANCH two, by its own hash and deals its
+sets out by their minwise value there. A node of at most LEAF sets is compared exhaustively. A path makes at most DEPTH
+choices. The number of trees follows from the target recall: a pair at the threshold stays together in a tree with the
+survival chance of the branching process, after DEPTH choices and at the agreement of its two sketches. All trees choose
+among the same coordinates, so the chance to be lost in all of them is averaged over the spread of that agreement.
 
-A node that STUCK choices on end hardly shrank holds sets that are alike. Its sets are compared in blocks together with
+A node that STUCK choices on end, or all that a path may make, didn't shrink enough is taken to hold sets that are alike. Its sets are compared in blocks together with
 common pivots, which links almost all of them. Those that are then not of the node's main component are compared with
 every set of the node, so that no pair that meets in such a node is lost, whatever its size.
 
-Comparison is in two steps: sketches tell which sets of a leaf may be linked (five standard deviations below the
-threshold), and the full sets, made again from the whole texts, confirm each link: all intersections of a list of at
+Comparison is in two steps: sketches tell which sets of a leaf may be linked (by the first
+COMPARED coordinates, with a bound that costs a tenth of the links that may be lost), and the full sets, made again from the whole texts, confirm each link: all intersections of a list of at
 most LEAF sets are one product of the matrix that says which set holds which shingle.
 
 Null, empty and blank texts have no shingles and stand alone. Rows that repeat an id are one vertex. A null id stands
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import Scratch, components, partitions, runs, table
 
-WORDS, COORDINATES, LEAF, DEPTH, BRANCH, RECALL = 5, 64, 1024, 14, 0.3, 0.9999
+WORDS, COORDINATES, COMPARED, LEAF, DEPTH, BRANCH, RECALL = 5, 256, 64, 1024, 14, 0.3, 0.99999
+ROUNDS = 1 + (DEPTH - 1) // 2  # the first makes one choice, the others up to two
 PIVOTS, PIVOT_TREES, ALIKE, STUCK, FEW, REMEMBERED = 16, 3, 0.9, 2, 6, 200_000
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -71,7 +73,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
     base = s ^ (s >> U(32))
     for lo in range(0, len(s), 4096):
         np.minimum(low, np.multiply.outer(FACTORS, base[lo : lo + 4096]).min(axis=1), out=low)
-    return (low >> U(32)).astype(np.uint32).view(np.int32)
+    return (low >> U(24)).astype(np.uint16)
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +83,8 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 512)
             sets = [shingle(x.as_py()) for x in part.column("text")]
             totals = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s + U(1))))) for s in sets]
-            flat = np.concatenate([sketch(s) for s in sets]) if sets else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array([t[i] for t in totals], dtype=np.uint64).view(np.int64)) for i in (0, 1)], pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES, flat)],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array([t[i] for t in totals], dtype=np.uint64).view(np.int64)) for i in (0, 1)], pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
                 ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
 
@@ -95,8 +96,29 @@ def survival(similarity: float, depth: int) -> float:
     return 1 - lost
 
 
+def agreement(similarity: float, coordinates: int) -> list[float]:
+    """Chances that the sketches of two sets of this similarity agree in 0, 1, ... coordinates."""
+    return [math.comb(coordinates, m) * similarity**m * (1 - similarity) ** (coordinates - m) for m in range(coordinates + 1)]
+
+
 def tree_count(threshold: float, recall: float = RECALL, depth: int = DEPTH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
+    """Trees after which a pair at the threshold is lost in all of them with nine tenths of chance 1 - recall at most."""
+    cases = [(p, 1 - survival(m / COORDINATES, depth)) for m, p in enumerate(agreement(threshold, COORDINATES))]
+    trees = 1
+    while sum(p * lost**trees for p, lost in cases) > 0.9 * (1 - recall):
+        trees += 1
+    return trees
+
+
+def least_agreement(threshold: float, recall: float = RECALL) -> int:
+    """Of COMPARED coordinates, how many must agree: a pair at the threshold has fewer with a tenth of chance 1 - recall at most."""
+    least, below = 0, 0.0
+    for p in agreement(threshold, COMPARED):
+        below += p
+        if below > 0.1 * (1 - recall):
+            return least
+        least += 1
+    return least
 
 
 def branch(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +129,11 @@ def branch(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     twice = np.flatnonzero((mix(choice) >> U(11)).astype(np.float64) / (1 << 53) < BRANCH)
     rows = np.concatenate((np.arange(len(keys)), twice))
     at = np.concatenate((one, other[twice]))
-    return mix(choice[rows] ^ mix((at.astype(np.uint64) << U(32)) | values[rows, at].view(np.uint32).astype(np.uint64))), rows
+    return mix(choice[rows] ^ mix((at.astype(np.uint64) << U(32)) | values[rows, at].astype(np.uint64))), rows
 
 
 def matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("sketch").flatten().to_numpy().reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
 
 
 def first_level(trees: int):
@@ -159,14 +181,14 @@ class Union:
 
 def promising(threshold: float):
     """For each leaf the parts of it that sketches connect: (list, root, id), root being the part's first id."""
-    least = int(COORDINATES * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
+    least = least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, roots, members = [], [], []
         for part in runs(batches, "list"):
             part = part.combine_chunks().to_batches()[0]
             ids, s = part.column("id").to_numpy(), matrix(part).astype(np.uint8)  # the low byte tells values apart well enough here
-            groups, step = Union(len(ids)), max(1, (1 << 22) // (COORDINATES * len(ids)))
+            groups, step = Union(len(ids)), max(1, (1 << 22) // (COMPARED * len(ids)))
             for lo in range(0, len(ids), step):
                 same = (s[lo : lo + step, None, :] == s[None, lo:, :]).sum(axis=2, dtype=np.uint8)
                 for i, j in zip(*np.nonzero(same >= least)):
@@ -267,7 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     spark, threshold = docs.sparkSession, percent / 100
     scratch, n_parts = Scratch(spark, "near"), partitions(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = scratch.write(rows.mapInArrow(sketches, "doc_id long, n_shingles long, h1 long, h2 long, sketch array<int>"), "sketches")
+    own = scratch.write(rows.mapInArrow(sketches, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sketches")
     classes = scratch.write(own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     sets = classes.select("id", "sketch")
 
@@ -275,14 +297,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     level = sets.mapInArrow(first_level(trees), LEVEL)
     leaves, alike = None, None
     spent: list[DataFrame] = []
-    for depth in range(DEPTH):
+    for depth in range(ROUNDS):
         level = scratch.write(level, "level")
         counts = scratch.write(level.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("of"), F.first("stuck").alias("before")).where("n > 1").withColumn("stuck", F.when(F.col("n") >= F.col("of") * ALIKE, F.col("before") + 1).otherwise(0)), "counts")
         spent += [level, counts]
         here = level.join(counts.where(F.col("n") <= LEAF).select("key"), "key").select("key", "id")
         leaves = here if leaves is None else leaves.unionByName(here)
-        # a node that choices hardly shrink, or of the last level, is compared in blocks
-        stop = F.lit(depth == DEPTH - 1) | (F.col("stuck") >= STUCK)
+        # a node that choices hardly shrink, or of the last round, is compared in blocks
+        stop = F.lit(depth == ROUNDS - 1) | (F.col("stuck") >= STUCK)
         large = counts.where(F.col("n") > LEAF).withColumn("stop", stop)
         found = {r["stop"]: r["count"] for r in large.groupBy("stop").count().collect()}
         if found.get(True):
@@ -296,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     # leaves of equal members, from other trees or choices, are compared once
     members = leaves.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
     lists = members.select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("id"))
-    near = by_id(lists, "list", sets).select("list", "id", "sketch").repartition(n_parts, "list").sortWithinPartitions("list", "id")
+    near = by_id(lists, "list", sets.withColumn("sketch", F.substring("sketch", 1, 2 * COMPARED))).select("list", "id", "sketch").repartition(n_parts, "list").sortWithinPartitions("list", "id")
     maybe = scratch.write(near.mapInArrow(promising(threshold), "list long, root long, id long"), "maybe")
     if alike is not None:
         alike = scratch.write(alike, "alike")

@@ -72,6 +72,37 @@ def test_tree_count_meets_recall():
         assert (1 - near_dedup.survival(s, near_dedup.DEPTH)) ** near_dedup.tree_count(s) <= 1 - near_dedup.RECALL + 1e-12
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_op4_links_survive_deep_nodes(percent):
+    """Pairs at the threshold whose nodes stay above 2 * LEAF to the end, so that each round after the first makes two choices."""
+    rng, n, pairs = np.random.default_rng(percent), 400, 2000
+    apart = n * (100 - percent) // 100
+    sets = [near_dedup.mix(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(pairs)]
+    values = [np.stack([near_dedup.sketch(s[part]) for s in sets]) for part in (slice(apart // 2, None), slice(None, n - apart + apart // 2))]
+    rounds = getattr(near_dedup, "ROUNDS", near_dedup.DEPTH)
+    met = np.zeros(pairs, dtype=bool)
+    for t in range(near_dedup.tree_count(percent / 100)):
+        at = np.arange(pairs)
+        keys = np.full(pairs, t + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for _ in range(2 * rounds - 1):
+            one, rows = near_dedup.branch(keys, values[0][at])
+            other, _ = near_dedup.branch(keys, values[1][at])  # the choices hang on the key alone, so both have the same
+            keys, at = one[one == other], at[rows[one == other]]
+        met[at] = True
+    assert pairs - met.sum() <= 1
+
+
+def test_choices_of_a_path_are_those_reckoned_with():
+    assert 1 + 2 * (near_dedup.ROUNDS - 1) <= near_dedup.DEPTH
+
+
+def test_tree_count_reckons_with_the_spread_of_sketches():
+    for s in (0.8, 0.85, 0.95):
+        lost = sum(p * (1 - near_dedup.survival(m / near_dedup.COORDINATES, near_dedup.DEPTH)) ** near_dedup.tree_count(s) for m, p in enumerate(near_dedup.agreement(s, near_dedup.COORDINATES)))
+        unlike = sum(near_dedup.agreement(s, near_dedup.COMPARED)[: near_dedup.least_agreement(s)])
+        assert lost + unlike <= 1 - near_dedup.RECALL
+
+
 def test_intersections_equal_sets():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 50, 5000, 8000, 8000)]
