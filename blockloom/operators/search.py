@@ -68,13 +68,21 @@ def orderings(items: tuple, most: int = ORDERINGS) -> Iterator[tuple]:
         yield p
 
 
-def search_groups(groups: DataFrame, key: str, sizes: str, target: int, exact: bool = True, most: int = FRAGMENTS) -> DataFrame:
-    """From one row a group, with its sizes in an array: key, k (fragments in the least subset) and subsets (how many).
-    Groups come in Arrow batches, many to a call; those without a match give no row."""
+def search_groups(groups: DataFrame, key: str, sizes: str, target: int, exact: bool = True, most: int = FRAGMENTS, nodes: int = NODES) -> DataFrame:
+    """From one row a group, with its sizes in an array: key, k (fragments in the least subset), subsets (how many) and
+    reason. Groups come in Arrow batches, many to a call; those without a match give no row. A group whose search takes
+    more than nodes steps gives a row with a reason instead of a count that may be partial."""
+
+    def search(g: int, s: list[int]) -> Iterator[tuple]:
+        found = matching_subsets(s, target, exact, most, budget := Budget(nodes))
+        if budget.left < 0:
+            yield g, None, None, "search budget spent"
+        elif found:
+            yield g, len(found[0]), len(found), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(g, len(found[0]), len(found)) for g, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (found := matching_subsets(s, target, exact, most))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))], [key, "k", "subsets"])
+            rows = [r for g, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in search(g, s)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))], [key, "k", "subsets", "reason"])
 
-    return groups.select(key, sizes).mapInArrow(run, f"{key} long, k int, subsets long")
+    return groups.select(key, sizes).mapInArrow(run, f"{key} long, k int, subsets long, reason string")

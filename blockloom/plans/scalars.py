@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -157,12 +159,22 @@ UNION ALL SELECT a.o, 2, count(*) FROM {_L} a JOIN {_L} b ON a.o = b.o AND a.i <
 UNION ALL SELECT a.o, 3, count(*) FROM {_L} a JOIN {_L} b ON a.o = b.o AND a.i < b.i JOIN {_L} c ON a.o = c.o AND b.i < c.i WHERE a.q + b.q + c.q = 60 GROUP BY a.o"""
 
 
-@query(f"SELECT o AS l_orderkey, CAST(arg_min(k, k) AS INTEGER) AS k, CAST(arg_min(n, k) AS BIGINT) AS subsets FROM ({_SUBSETS}) GROUP BY o")
-def q_subset_sum(spark, sf_dir):
+def _sizes(spark, sf_dir):
     # orders whose items can't reach the target never leave the JVM
     q = F.col("l_quantity").cast("long")
-    groups = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(q).alias("sizes"), F.sum(q).alias("total")).where("total >= 60")
-    return search_groups(groups, "l_orderkey", "sizes", 60, most=3)
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(q).alias("sizes"), F.sum(q).alias("total")).where("total >= 60")
+
+
+@query(f"SELECT o AS l_orderkey, CAST(arg_min(k, k) AS INTEGER) AS k, CAST(arg_min(n, k) AS BIGINT) AS subsets FROM ({_SUBSETS}) GROUP BY o")
+def q_subset_sum(spark, sf_dir):
+    """As far as its SQL goes: subsets of up to three lines, without a budget. q_subset_search has the operator's limits."""
+    return search_groups(_sizes(spark, sf_dir), "l_orderkey", "sizes", 60, most=3, nodes=sys.maxsize).drop("reason")
+
+
+@query(None)
+def q_subset_search(spark, sf_dir):
+    """The operator's own limits: up to 8 lines; an order whose search takes more steps than its budget is a row with a reason."""
+    return search_groups(_sizes(spark, sf_dir), "l_orderkey", "sizes", 60)
 
 
 @query(f"""WITH t AS (SELECT o FROM {_L} GROUP BY o HAVING count(*) = 3)

@@ -1,6 +1,10 @@
+import random
+from itertools import combinations
+
 import pytest
 
 import __spark_entry__ as entry
+from blockloom.operators.search import search_groups
 from blockloom.plans import registered
 from tests.compare import same
 
@@ -24,6 +28,24 @@ def test_utf16_round_trip(spark, sf):
     assert all(r.back == names[r.p_partkey] and bytes.fromhex(r.data) == names[r.p_partkey].encode("utf-16-be").ljust(80, b"\0") for r in rows)
 
 
+def test_subset_search_equals_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    orders = {o: [rng.randint(1, 40) for _ in range(rng.randint(1, 9))] for o in range(60)}
+    orders |= {100: [15] * 4, 101: [12] * 5, 102: [10] * 6, 103: [7, 7, 7, 7, 8, 8, 8, 8], 104: [1] * 70, 105: [2] * 29 + [1] * 29}
+    spark.createDataFrame([(o, float(q)) for o, s in orders.items() for q in s], "l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: (r.k, r.subsets, r.reason) for r in QUERIES["q_subset_search"](spark, str(tmp_path)).collect()}
+    want = {}
+    for o, s in orders.items():
+        for k in range(1, min(len(s), 8) + 1) if len(s) < 10 else ():
+            if n := sum(sum(c) == 60 for c in combinations(s, k)):
+                want[o] = (k, n, None)
+                break
+    assert {o: r for o, r in got.items() if o < 104} == want and {k for k, _, _ in want.values()} >= {2, 3, 4, 5, 6, 8}
+    assert 104 not in got and 105 not in got  # sums of 8 lines stay below 60
+    many = spark.createDataFrame([(1, [3, 2, 1] * 30)], "o long, sizes array<long>")
+    assert [tuple(r) for r in search_groups(many, "o", "sizes", 17).collect()] == [(1, None, None, "search budget spent")]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
