@@ -93,6 +93,18 @@ def q_locate_part(spark, sf_dir):
     return L.locate(points, "point", d, "start", "end", 8192).select("point", "doc_id", (F.col("point") - F.col("start")).alias("inside"))
 
 
+@query(f"""WITH d AS ({_DOC_OFFSETS}), q AS (SELECT unnest(generate_series(0, (SELECT CAST(max(start + size) AS BIGINT) - 1 FROM d), 2048)) AS point
+  UNION SELECT start FROM d WHERE size > 0 UNION SELECT start + size - 1 FROM d WHERE size > 0)
+SELECT CAST(point AS BIGINT) AS point, doc_id, CAST(point - start AS BIGINT) AS inside FROM q JOIN d ON point >= start AND point < start + size""")
+def q_locate_boundaries(spark, sf_dir):
+    """Every sector's first byte, and each document's first and last."""
+    d = _doc_offsets(spark, sf_dir).withColumn("end", F.col("start") + F.col("size"))
+    sectors = F.sequence(ceil_div(F.col("start"), 2048), quotient(F.col("end") - 1, 2048))
+    inside = F.when(ceil_div(F.col("start"), 2048) <= quotient(F.col("end") - 1, 2048), F.transform(sectors, lambda s: s * 2048)).otherwise(F.array().cast("array<bigint>"))
+    points = d.where("size > 0").select(F.explode(F.array_union(F.array("start", F.col("end") - 1), inside)).alias("point"))
+    return L.locate(points, "point", d, "start", "end", 8192).select("point", "doc_id", (F.col("point") - F.col("start")).alias("inside"))
+
+
 def _alloc(spark, sf_dir):
     n = F.greatest(ceil_div(F.octet_length("text"), 4096), F.lit(1).cast("long"))
     return L.global_offset(table(spark, sf_dir, "documents").select("doc_id", n.alias("n")), "doc_id", "n", "first_block")
@@ -111,6 +123,15 @@ def q_block_owner(spark, sf_dir):
     return L.locate(blocks, "block", a, "first_block", "end", 8).select("block", "doc_id")
 
 
+@query(f"""WITH a AS ({_ALLOC}), q AS (SELECT unnest(generate_series(0, (SELECT CAST(max(first_block + n) AS BIGINT) - 1 FROM a))) AS block)
+SELECT CAST(block AS BIGINT) AS block, doc_id FROM q JOIN a ON block >= first_block AND block < first_block + n""")
+def q_block_owners(spark, sf_dir):
+    """Every block that is allocated."""
+    a = _alloc(spark, sf_dir).withColumn("end", F.col("first_block") + F.col("n"))
+    blocks = a.select(F.explode(F.sequence(F.col("first_block"), F.col("end") - 1)).alias("block"))
+    return L.locate(blocks, "block", a, "first_block", "end", 8).select("block", "doc_id")
+
+
 @query("""SELECT s AS sector, CAST(b // 41412 AS BIGINT) AS part_no, CAST((b % 41412 + (b % 41412) // 204 + 2) * 4096 + (s % 2) * 2048 AS BIGINT) AS position
 FROM (SELECT o_orderkey * 13 AS s, (o_orderkey * 13) // 2 AS b FROM orders)""")
 def q_remap(spark, sf_dir):

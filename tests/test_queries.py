@@ -28,6 +28,19 @@ def test_utf16_round_trip(spark, sf):
     assert all(r.back == names[r.p_partkey] and bytes.fromhex(r.data) == names[r.p_partkey].encode("utf-16-be").ljust(80, b"\0") for r in rows)
 
 
+def test_every_block_and_boundary_is_looked_up(spark, tmp_path):
+    texts = ["", "a", "b" * 4096, "c" * 4097, "d" * 30_000, "", "e" * 2048, "f" * 5]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    owner = [i for i, t in enumerate(texts) for _ in range(max(1, -(-len(t) // 4096)))]
+    assert sorted((r.block, r.doc_id) for r in QUERIES["q_block_owners"](spark, str(tmp_path)).collect()) == list(enumerate(owner))
+    whole, starts = [i for i, t in enumerate(texts) for _ in t], {}
+    for p, i in enumerate(whole):
+        starts.setdefault(i, p)
+    points = {p for p in range(0, len(whole), 2048)} | {p for i, p in starts.items()} | {p + len(texts[i]) - 1 for i, p in starts.items()}
+    got = sorted((r.point, r.doc_id, r.inside) for r in QUERIES["q_locate_boundaries"](spark, str(tmp_path)).collect())
+    assert got == [(p, whole[p], p - starts[whole[p]]) for p in sorted(points)]
+
+
 def test_subset_search_equals_brute_force(spark, tmp_path):
     rng = random.Random(3)
     orders = {o: [rng.randint(1, 40) for _ in range(rng.randint(1, 9))] for o in range(60)}
