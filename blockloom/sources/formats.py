@@ -516,6 +516,24 @@ def stfs_backing(block: int, shift: int) -> int:
     return out if block < STFS_GROUP**2 else out + (1 << shift)
 
 
+def stfs_tables(records: list[bytes]) -> tuple[dict[int, bytes], bytes]:
+    """Hash tables of one block each by physical block, and the top one, from the records of all blocks. A table above the
+    lowest level has a record for each table below it, and at its end how many blocks are below it."""
+    join = lambda x: b"".join(x).ljust(BLOCK, b"\0")
+    groups = [join(records[i : i + STFS_GROUP]) for i in range(0, len(records), STFS_GROUP)]
+    out = {stfs_backing(STFS_GROUP * g, 0) - 1: t for g, t in enumerate(groups)}
+    span, level = STFS_GROUP, 0
+    while len(groups) > 1:
+        span, level, below = span * STFS_GROUP, level + 1, groups
+        groups = []
+        for i in range(0, len(below), STFS_GROUP):
+            count = min(span, len(records) - i // STFS_GROUP * span)
+            groups.append(join(hashlib.sha1(t).digest() + b"\x80" + bytes(3) for t in below[i : i + STFS_GROUP])[:-16] + count.to_bytes(4, "big") + bytes(12))
+            step = STFS_GROUP + 1, STFS_GROUP * (STFS_GROUP + 1) + 1  # physical blocks of a group of each level with its table
+            out[step[1] if level == 2 else step[0] if i == 0 else 1 + i // STFS_GROUP * step[1]] = groups[-1]
+    return out, groups[0]
+
+
 def stfs_files(data: bytes) -> list[tuple[str, int, bytes]]:
     """(path, size, content) of a package's files. Blocks of one file are consecutive if its entry says so, else each
     block's hash record names the next."""
@@ -570,7 +588,7 @@ def stfs_files(data: bytes) -> list[tuple[str, int, bytes]]:
 
 def write_stfs(files: dict[str, bytes], title_id: int = 0, content_type: int = 1, name: str = "") -> bytes:
     """An unsigned read-only package: file table, then each file's blocks in sequence; an empty file takes one block.
-    Hash tables of one level, so at most 170 blocks."""
+    Hash tables of one level up to 170 blocks, of two up to 170 * 170, of three up to 170 * 170 * 170 (20 GB)."""
     rows, folders, blocks = [], {}, []
     for path in files:
         *dirs, last = path.split("/")
@@ -593,21 +611,24 @@ def write_stfs(files: dict[str, bytes], title_id: int = 0, content_type: int = 1
             blocks += [content[i : i + BLOCK].ljust(BLOCK, b"\0") for i in range(0, max(1, len(content)), BLOCK)]
             chains.append(list(range(at, at + n)))
             at += n
-    need(at <= STFS_GROUP, "more blocks than one hash table holds")
+    need(at <= STFS_GROUP**3, "more blocks than three levels of hash tables hold")
     body = [table[i : i + BLOCK].ljust(BLOCK, b"\0") for i in range(0, n_table * BLOCK, BLOCK)] + blocks
     after = {b: c[i + 1] if i + 1 < len(c) else STFS_END for c in chains for i, b in enumerate(c)}
-    records = b"".join(hashlib.sha1(bytes(b)).digest() + b"\x80" + after[i].to_bytes(3, "big") for i, b in enumerate(body)).ljust(BLOCK, b"\0")
+    records = [hashlib.sha1(bytes(b)).digest() + b"\x80" + after[i].to_bytes(3, "big") for i, b in enumerate(body)]
+    tables, top = stfs_tables(records)
+    physical = {stfs_backing(i, 0): bytes(b) for i, b in enumerate(body)} | tables
+    need(sorted(physical) == list(range(len(physical))), "tables and blocks don't fill the package")
     head = bytearray(0xB000)
     head[:4] = b"LIVE"
     struct.pack_into(">III", head, 0x340, 0xAD0E, content_type, 2)
     struct.pack_into(">I", head, 0x360, title_id)
     head[0x379:0x37C] = bytes([0x24, 0, 1])
     head[0x37C:0x381] = n_table.to_bytes(2, "little") + (0).to_bytes(3, "little")
-    head[0x381:0x395] = hashlib.sha1(records).digest()
+    head[0x381:0x395] = hashlib.sha1(top).digest()
     struct.pack_into(">I", head, 0x395, at)
     title = name.encode("utf-16-be")[:254]
     head[0x411 : 0x411 + len(title)] = title
-    return bytes(head) + records + b"".join(map(bytes, body))
+    return bytes(head) + b"".join(physical[i] for i in range(len(physical)))
 
 
 def xbe_sections(data: bytes, most: int = 4096) -> dict[str, bytes]:

@@ -170,6 +170,29 @@ def test_package_round_trip(spark):
     assert [bytes(r.data) for r in back.orderBy("sector_no").collect()] == [bytes([i]) * 2048 for i in range(8)]
 
 
+@pytest.mark.parametrize("blocks", [169, 170, 171, 28_899, 28_900, 57_900])
+def test_package_of_more_than_one_hash_table(blocks):
+    """All levels of tables: each block's and each table's digest is where the addresses say, up to the header's."""
+    import hashlib
+
+    content = b"".join(i.to_bytes(4, "big") * 1024 for i in range(blocks - 1))
+    data = formats.write_stfs({"a.bin": content[: 4096 * 5], "b.bin": content[4096 * 5 :]})
+    assert [(p, c) for p, _, c in formats.stfs_files(data)] == [("a.bin", content[: 4096 * 5]), ("b.bin", content[4096 * 5 :])]
+    block = lambda i: data[0xB000 + 4096 * i : 0xB000 + 4096 * (i + 1)]
+    record = lambda table, i: block(table)[24 * (i % 170) : 24 * (i % 170) + 20]
+    sha = lambda i: hashlib.sha1(block(i)).digest()
+    level = (blocks > 170) + (blocks > 28_900)
+    middle = lambda i: 171 if i < 28_900 else 1 + i // 28_900 * 29_071
+    assert all(record(formats.stfs_backing(i - i % 170, 0) - 1, i) == sha(formats.stfs_backing(i, 0)) for i in range(blocks))
+    if level > 0:
+        assert all(record(middle(i), i // 170) == sha(formats.stfs_backing(i, 0) - 1) for i in range(0, blocks, 170))
+        assert all(int.from_bytes(block(middle(i))[4080:4084], "big") == min(28_900, blocks - i) for i in range(0, blocks, 28_900))
+    if level > 1:
+        assert all(record(29_071, i // 28_900) == sha(middle(i)) for i in range(0, blocks, 28_900))
+        assert int.from_bytes(block(29_071)[4080:4084], "big") == blocks
+    assert data[0x381:0x395] == sha((0, 171, 29_071)[level])
+
+
 def test_textures_and_sections():
     body = bytes(range(64))
     head = lambda code, side: b"XPR0" + struct.pack("<II", 32 + 64, 32) + bytes(12) + struct.pack("<II", code << 8 | side << 20 | side << 24, 0)
