@@ -33,9 +33,16 @@ def ordered_digest(digests: Column, order: Column, width: int = 4096) -> Column:
 
 
 def hash_rollup(blocks: DataFrame, keys: list[str], number: str = "block_no", digest: str = "sha1", fan_in: int = 204) -> DataFrame:
-    """Two levels: digest lists of fan_in blocks each, then the list of those. Each level groups fan_in rows at most on its lower level."""
+    """Two levels: digest lists of fan_in blocks each, then the list of those. Each level groups fan_in rows at most on its
+    lower level. Where the upper list would hold more than fan_in digests it is dealt in parts of fan_in - 1, and from the
+    last part to the first each list also gets the digest of the next, so that the first one's digest covers every block."""
     lower = blocks.withColumn("sub_no", quotient(F.col(number), fan_in)).groupBy(*keys, "sub_no").agg(ordered_digest(F.col(digest), F.col(number)).alias("sub"), F.count(F.lit(1)).alias("n"))
-    return lower.groupBy(*keys).agg(ordered_digest(F.col("sub"), F.col("sub_no")).alias("master"), F.sum("n").alias("n_blocks"))
+    upper = lower.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sub_no", "sub"))).alias("_subs"), F.sum("n").alias("n_blocks"))
+    width = F.when(F.size("_subs") <= fan_in, fan_in).otherwise(fan_in - 1)
+    firsts = F.reverse(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.size("_subs").cast("long") - 1, width.cast("long"))))
+    own = lambda part: F.array_join(F.transform(F.slice("_subs", (part * width + 1).cast("int"), width), lambda x: x["sub"]), "")
+    master = F.aggregate(firsts, F.lit(""), lambda after, part: F.sha1(F.unhex(F.rpad(F.concat(own(part), after), 8192, "0"))))
+    return upper.select(*keys, master.alias("master"), "n_blocks")
 
 
 def chain_digest(texts: Column, order: Column) -> Column:

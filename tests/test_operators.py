@@ -26,6 +26,21 @@ def test_hash_rollup_levels(spark):
         assert (row.master, row.n_blocks) == (want, len(pieces))
 
 
+def test_hash_rollup_beyond_one_upper_list(spark):
+    """All blocks enter the digest: lists of 204 as one part, more in parts of 203 that chain as in write_god."""
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    for n in (204 * 204, 204 * 204 + 1, 204 * 203 * 2 + 5):
+        pieces = [bytes.fromhex(digest(i)) for i in range(n)]
+        subs = [hashlib.sha1(b"".join(pieces[i : i + 204]).ljust(4096, b"\0")).digest() for i in range(0, n, 204)]
+        parts = [subs] if len(subs) <= 204 else [subs[i : i + 203] for i in range(0, len(subs), 203)]
+        want = b""
+        for p in reversed(parts):
+            want = hashlib.sha1((b"".join(p) + want).ljust(4096, b"\0")).digest()
+        b = spark.range(n).select(F.lit(1).alias("doc"), F.col("id").alias("block_no"), F.sha1(F.col("id").cast("string").cast("binary")).alias("sha1"))
+        row = blocks.hash_rollup(b, ["doc"]).first()
+        assert (row.master, row.n_blocks) == (want.hex(), n)
+
+
 def test_greedy_boundary(spark):
     df = spark.createDataFrame([(1, [(1, 5), (2, 5), (3, 1), (4, 20), (5, 1)])], "id int, items array<struct<k:int,size:bigint>>")
     assert df.select(layout.greedy_parts(F.col("items"), 10)).first()[0] == [0, 0, 1, 2, 3]
