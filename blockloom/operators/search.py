@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import permutations
+from math import factorial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,6 +69,22 @@ def orderings(items: tuple, most: int = ORDERINGS) -> Iterator[tuple]:
         yield p
 
 
+def order_groups(groups: DataFrame, key: str, items: str, most: int = ORDERINGS) -> DataFrame:
+    """From one row a group, with its items' values in an array: a row for each of the first most orderings, with the places
+    from 1 joined by dashes, position (values weighted by powers of two, the last by one; null beyond 63 bits) and complete
+    (false if the group has more orderings)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(orderings(tuple(range(len(values))), most))
+                at = [sum(values[i] << len(p) - 1 - j for j, i in enumerate(p)) for p in found]
+                columns = [pa.array([g] * len(found), pa.int64()), pa.array(["-".join(str(i + 1) for i in p) for p in found], pa.string()), pa.array([x if abs(x) < 1 << 63 else None for x in at], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([factorial(len(values)) <= most] * len(found), pa.bool_())], [key, "ordering", "position", "complete"])
+
+    return groups.select(key, items).mapInArrow(run, f"{key} long, ordering string, position long, complete boolean")
+
+
 def search_groups(groups: DataFrame, key: str, sizes: str, target: int, exact: bool = True, most: int = FRAGMENTS, nodes: int = NODES) -> DataFrame:
     """From one row a group, with its sizes in an array: key, k (fragments in the least subset), subsets (how many) and
     reason. Groups come in Arrow batches, many to a call; those without a match give no row. A group whose search takes

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from blockloom.functions import bits as B
 from blockloom.operators.layout import global_offset
-from blockloom.operators.search import search_groups
+from blockloom.operators.search import order_groups, search_groups
 from blockloom.operators.trees import build_paths, number_level
 from blockloom.plans.catalog import query, table
 
@@ -189,6 +189,14 @@ def q_permute(spark, sf_dir):
     return each.select("l_orderkey", F.array_join(F.col("p").cast("array<string>"), "-").alias("ordering"), (q[0] * 4 + q[1] * 2 + q[2]).alias("position"))
 
 
+@query(None)
+def q_orderings(spark, sf_dir):
+    """Orderings of the lines of every order, within the operator's limit of 2,000 an order; complete tells where it cuts."""
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(items.alias("x"))
+    return order_groups(lines.select("l_orderkey", F.transform("x", lambda x: x["q"]).alias("q")), "l_orderkey", "q")
+
+
 @query(f"""SELECT a.o AS l_orderkey, count(*) AS winners, count(DISTINCT least(a.q, b.q) || ',' || greatest(a.q, b.q)) > 1 AS ambiguous
 FROM {_L} a JOIN {_L} b ON a.o = b.o AND a.i < b.i WHERE a.q + b.q BETWEEN 55 AND 60 GROUP BY a.o""")
 def q_ambiguity(spark, sf_dir):

@@ -1,5 +1,5 @@
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pytest
 
@@ -28,6 +28,17 @@ def test_utf16_round_trip(spark, sf):
     assert all(r.back == names[r.p_partkey] and bytes.fromhex(r.data) == names[r.p_partkey].encode("utf-16-be").ljust(80, b"\0") for r in rows)
 
 
+def test_orderings_equal_brute_force(spark, tmp_path):
+    orders = {n: [(3 * i + n) % 7 + 1 for i in range(n)] for n in range(1, 8)} | {70: [50] * 70}
+    rows = [(o, i, 1, 1, 1.0, float(q)) for o, s in orders.items() for i, q in enumerate(s)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in QUERIES["q_orderings"](spark, str(tmp_path)).collect() if r.l_orderkey < 7)
+    want = [(o, "-".join(str(i + 1) for i in p), sum(s[i] * 2 ** (len(s) - 1 - j) for j, i in enumerate(p)), True) for o, s in orders.items() if o < 7 for p in permutations(range(len(s)))]
+    assert got == sorted(want)
+    cut = [r for r in QUERIES["q_orderings"](spark, str(tmp_path)).collect() if r.l_orderkey >= 7]
+    assert len(cut) == 4000 and not any(r.complete for r in cut) and all(r.position is None for r in cut if r.l_orderkey == 70)
+
+
 def test_every_block_and_boundary_is_looked_up(spark, tmp_path):
     texts = ["", "a", "b" * 4096, "c" * 4097, "d" * 30_000, "", "e" * 2048, "f" * 5]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
