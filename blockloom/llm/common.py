@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 #: ASCII white space, as every word count here has it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys with more than so many a part of all rows are broadcast in joins: there can't be more than SHARE of them.
+SHARE = 10_000
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests) one of our own is set."""
+    """The folder all executors share: spark.checkpoint.dir. Only where it is unset and all tasks run in this process
+    (tests) one of our own is set."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="blockloom-")
         sc.setCheckpointDir(root)
     return root
 
 
 class Scratch:
-    """Written tables that cut lineage and survive a lost executor. drop() removes those no longer needed."""
+    """Written tables that cut lineage and survive a lost executor. What was shuffled for a table is freed once it is
+    written. drop() removes those no longer needed, close() all of them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", {}
@@ -40,7 +47,12 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{self.written}"
         self.written += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         out = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
         self.paths[path] = out
         return out
@@ -48,10 +60,18 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         for path, kept in list(self.paths.items()):
             if kept is df:
-                hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+                self.delete(path)
                 del self.paths[path]
 
+    def close(self) -> None:
+        """For callers that have kept what they need: nothing that reads these tables works afterwards."""
+        self.delete(self.root)
+        self.paths.clear()
+
+    def delete(self, path: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -62,6 +82,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def frequent(counted: DataFrame, rows: int) -> DataFrame:
+    """Of (key, n) those with more than a SHARE-th of so many rows: at most SHARE keys, which may be broadcast."""
+    return counted.where(F.col("n") > rows / SHARE)
+
+
+def recurring(scratch: Scratch, rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of a written table whose key occurs more than once, and how often (n). Frequent keys are joined where their
+    rows are, so that no task gets all rows of a key."""
+    often = scratch.write(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    hot = frequent(often, rows.count())
+    rest = often.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key))
+
+
 def number_rows(scratch: Scratch, df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Gapless numbers from 0 in the order given, without a window over all rows: rows are dealt by range,
     counted by partition, and each gets its partition's offset plus its place. order must tell rows apart,

@@ -1,5 +1,8 @@
 """Removal of repeated substrings by a distributed merge sort of suffixes that knows common prefixes.
 
+Equal texts of SPAN bytes or more lose all their bytes and take part as one numbered text from then on; ids play no part
+until the results are joined with the rows by the text's digest.
+
 Every string of SPAN bytes holds at least one anchor: a position whose K-byte gram has the least hash of a window of
 grams that fits the span. Equal strings have equal anchors, so a string that occurs twice has an anchor whose gram
 occurs twice, and only suffixes at such anchors are sorted. Each task sorts its anchors' suffixes (SPAN bytes to the
@@ -13,10 +16,14 @@ or more, all of these are removed. For each suffix the largest such R comes from
 largest such L from the same suffixes sorted by their left side; a suffix whose neighbours leave room for a farther and
 longer match is compared with all of its gram, so the result is exact.
 
+A gram of more than CROWD anchors doesn't go to one task: the spans of SPAN bytes around its anchors are counted by their
+128-bit hash instead, in an aggregate that combines before the shuffle, and those that occur twice are removed. That is
+exact too, since an equal span has the same anchor. Keys that hold more than a SHARE-th of all rows, so at most SHARE of
+them, are broadcast in joins and the rest is shuffled.
+
 Texts are UTF-8 bytes; a null text is empty. Matches never cross documents. Texts shorter than SPAN lose nothing. Rows
-that repeat a text remove each other's bytes. Rows that repeat an id are told apart only by their text: equal rows are
-equal, and rows with one id and different texts get each other's spans, so ids must be unique. An empty table gives
-an empty result. Only doc_id and text are read."""
+that repeat a text remove each other's bytes, whatever their ids; ids may be null or repeat, and rows of one id with
+different texts each get their own result. An empty table gives an empty result. Only doc_id and text are read."""
 
 from __future__ import annotations
 
@@ -30,13 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import Scratch, partitions, table
+from blockloom.llm.common import Scratch, frequent, partitions, recurring, table
 from blockloom.llm.near_dedup import mix
 
-SPAN, K, PIECE, RUN, NEAR = 200, 32, 1 << 20, 60_000, 12
+SPAN, K, PIECE, RUN, NEAR, CROWD = 200, 32, 1 << 20, 60_000, 12, 20_000
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+OTHER = 0xD6E8FEB86659FD93
+OTHER_INVERSE = pow(OTHER, -1, 1 << 64)
 BYTES = np.random.default_rng(31).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -82,25 +91,43 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[first]
 
 
-def raw(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their digest and as compressed bytes, so that joins move less."""
+    c = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), pa.array([c.compress(t) for t in texts], pa.binary())], ["digest", "packed"])
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return (d.decompress(x.as_py()) for x in batch.column("packed"))
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
-            found = [anchors(raw(t.as_py())) for t in part.column("text")]
-            n = [len(x[0]) for x in found]
-            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([x[0] for x in found]).astype(np.int32)), pa.array(np.concatenate([x[1] for x in found]).view(np.int64))], ["doc_id", "pos", "gram"])
+            found = [anchors(np.frombuffer(t, dtype=np.uint8)) for t in unpacked(part)]
+            rows = np.repeat(part.column("row").to_numpy(), [len(x[0]) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate([x[0] for x in found]).astype(np.int32)), pa.array(np.concatenate([x[1] for x in found]).view(np.int64))], ["row", "pos", "gram"])
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, so that joins move less."""
-    c = zstandard.ZstdCompressor(level=1)
+def spans_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Start and 128-bit hash of every span of SPAN bytes that holds one of the anchors given."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")], pa.binary())], ["doc_id", "packed"])
+        for row, text, at in zip(batch.column("row"), unpacked(batch), batch.column("at")):
+            places = at.values.to_numpy()
+            starts = np.unique((places[:, None] - np.arange(SPAN - K + 1)[None, :]).ravel())
+            starts = starts[(starts >= 0) & (starts <= len(text) - SPAN)]
+            data, hashes = np.frombuffer(text, dtype=np.uint8), []
+            for base, inverse in ((BASE, INVERSE), (OTHER, OTHER_INVERSE)):
+                sums = np.zeros(len(data) + 1, dtype=np.uint64)
+                np.cumsum(BYTES[data] * powers(base, len(data)), out=sums[1:])
+                hashes.append(mix((sums[starts + SPAN] - sums[starts]) * powers(inverse, len(data))[starts]))
+            for lo in range(0, len(starts), 50_000):
+                part = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts[part]), row.as_py(), np.int64)), pa.array(starts[part].astype(np.int32)), *[pa.array(h[part].view(np.int64)) for h in hashes]], ["row", "start", "h1", "h2"])
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -111,7 +138,7 @@ def shared(a: bytes, b: bytes) -> int:
     return len(a) - (x.bit_length() + 7) // 8
 
 
-RUNS = "part int, run long, seq int, lcp int, tail binary, docs array<long>, places array<int>"
+RUNS = "part int, run long, seq int, lcp int, tail binary, rows array<long>, places array<int>"
 
 
 def sorted_runs(parts: int):
@@ -132,14 +159,13 @@ def sorted_runs(parts: int):
             last, seq = (part, key), seq + 1
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for lo in range(0, len(columns[0]), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 10_000], k) for c, k in zip(columns, kinds)], ["part", "run", "seq", "lcp", "tail", "docs", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 10_000], k) for c, k in zip(columns, kinds)], ["part", "run", "seq", "lcp", "tail", "rows", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, number, rows = zstandard.ZstdDecompressor(), TaskContext.get().partitionId() << 24, []
+        number, rows = TaskContext.get().partitionId() << 24, []
         for batch in batches:
-            for doc, packed, at in zip(*(batch.column(c) for c in ("doc_id", "packed", "at"))):
-                doc, text = doc.as_py(), d.decompress(packed.as_py())
-                places = at.values.to_numpy()
+            for doc, text, at in zip(batch.column("row"), unpacked(batch), batch.column("at")):
+                doc, places = doc.as_py(), at.values.to_numpy()
                 padded = b"\xff" * SPAN + text + b"\xff" * SPAN  # 255 is no byte of UTF-8
                 back = padded[::-1]
                 for p in places.tolist():
@@ -267,7 +293,7 @@ def best_pairs(keys: list[bytes], lcps: list[int], right: list[int], left: list[
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part, run and place -> (doc_id, start, end): what repeats around each anchor."""
+    """Rows sorted by part, run and place -> (row, start, end): what repeats around each anchor."""
     part, runs, last_run, key = None, [], None, b""
     docs_out: list[int] = []
     starts: list[int] = []
@@ -303,13 +329,13 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             settle(block, lcps)
 
     def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start", "end"])
+        batch = pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["row", "start", "end"])
         for x in (docs_out, starts, ends):
             x.clear()
         return batch
 
     for batch in batches:
-        for p, r, lcp, tail, docs, places in zip(*(batch.column(c).to_pylist() for c in ("part", "run", "lcp", "tail", "docs", "places"))):
+        for p, r, lcp, tail, docs, places in zip(*(batch.column(c).to_pylist() for c in ("part", "run", "lcp", "tail", "rows", "places"))):
             if p != part:
                 if runs:
                     finish()
@@ -325,47 +351,65 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    d = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows = []
-        for doc, packed, spans in zip(*(batch.column(c) for c in ("doc_id", "packed", "spans"))):
-            text, kept, at, removed, n = d.decompress(packed.as_py()), hashlib.sha256(), 0, 0, 0
-            merged: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in spans.as_py() or []):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(list(s))
-            for lo, hi in merged:
+        out = []
+        for digest, text, starts, ends in zip(batch.column("digest"), unpacked(batch), batch.column("starts"), batch.column("ends")):
+            kept, at, removed, n = hashlib.sha256(), 0, 0, 0
+            lows, highs = starts.values.to_numpy(), ends.values.to_numpy()
+            order = np.argsort(lows, kind="stable")
+            lows, highs = lows[order], np.maximum.accumulate(highs[order])
+            first = np.flatnonzero(np.concatenate(([True], lows[1:] > highs[:-1])))
+            for lo, hi in zip(lows[first].tolist(), highs[np.append(first[1:], len(lows)) - 1].tolist()):
                 kept.update(text[at:lo])
                 removed, n, at = removed + hi - lo, n + 1, hi
             kept.update(text[at:])
-            rows.append((doc.as_py(), len(text), removed, n, kept.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, end): byte ranges to remove; ranges of one document may overlap."""
-    spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "suffix"), 4 * partitions(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = scratch.write(rows.mapInArrow(find_anchors, "doc_id long, pos int, gram long"), "anchors")
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    at = found.join(often, "gram").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))  # a document's own anchors
-    packed = rows.mapInArrow(pack, "doc_id long, packed binary")
-    runs = packed.join(at, "doc_id").select("doc_id", "packed", "at").mapInArrow(sorted_runs(parts), RUNS)
-    return scratch.write(runs.repartition(partitions(spark), "part").sortWithinPartitions("part", "run", "seq").mapInArrow(merge, "doc_id long, start int, end int"), "spans")
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            out.append((digest.as_py(), removed, n, kept.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string()))], ["digest", "removed", "spans", "kept"])
+
+
+def unique_texts(scratch: Scratch, docs: DataFrame, text: str) -> DataFrame:
+    """(row, digest, copies, packed): each text of SPAN bytes or more once, numbered."""
+    long_ = docs.where(F.octet_length(text) >= SPAN).select(F.col(text).cast("binary").alias("text")).mapInArrow(pack, "digest binary, packed binary")
+    one = long_.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("packed").alias("packed"))
+    return scratch.write(one.withColumn("row", F.monotonically_increasing_id()), "texts")
+
+
+def repeated_spans(scratch: Scratch, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(row, start, end): byte ranges of texts to remove; ranges of one text may overlap."""
+    spark = texts.sparkSession
+    parts = 4 * partitions(spark)
+    found = scratch.write(texts.select("row", "packed").mapInArrow(find_anchors, "row long, pos int, gram long"), "anchors")
+    at = scratch.write(recurring(scratch, found, ["gram"]).select("row", "pos", (F.col("n") > crowd).alias("crowded")), "at")
+    scratch.drop(found)
+    gathered = lambda x: texts.select("row", "packed").join(x.groupBy("row").agg(F.collect_list("pos").alias("at")), "row").select("row", "packed", "at")
+    runs = gathered(at.where("NOT crowded")).mapInArrow(sorted_runs(parts), RUNS)
+    spans = scratch.write(runs.repartition(partitions(spark), "part").sortWithinPartitions("part", "run", "seq").mapInArrow(merge, "row long, start int, end int"), "spans")
+    if at.where("crowded").limit(1).count():
+        around = scratch.write(gathered(at.where("crowded")).mapInArrow(spans_around, "row long, start int, h1 long, h2 long"), "around")
+        more = scratch.write(recurring(scratch, around, ["h1", "h2"]).select("row", "start", (F.col("start") + SPAN).alias("end")), "spans")
+        scratch.drop(around)
+        spans = spans.unionByName(more)
+    scratch.drop(at)
+    return spans
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    spans = repeated_spans(docs, doc_id, text).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    packed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, "doc_id long, packed binary")
-    return packed.join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(cut, RESULT)
+    scratch = Scratch(docs.sparkSession, "suffix")
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("sha"))
+    own = scratch.write(own.withColumn("digest", F.unhex(F.substring("sha", 1, 32))), "own")
+    texts = unique_texts(scratch, docs, text)
+    spans = repeated_spans(scratch, texts, crowd).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    part = texts.where("copies = 1").select("row", "digest", "packed").join(spans, "row").select("digest", "packed", "starts", "ends").mapInArrow(cut, "digest binary, removed long, spans long, kept string")
+    copied = texts.where("copies > 1").select("digest", "copies")
+    hot = frequent(copied.withColumnRenamed("copies", "n"), own.count()).select("digest")
+    whole = lambda x: x.select("digest", F.lit(None).cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept"))
+    rest = own.join(F.broadcast(hot), "digest", "left_anti").join(part.unionByName(whole(copied)), "digest", "left")
+    out = rest.select("doc_id", "n_bytes", F.when(F.col("spans").isNull(), 0).otherwise(F.coalesce("removed", "n_bytes")).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    common = own.join(F.broadcast(whole(hot)), "digest")
+    return out.unionByName(common.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("kept").alias("kept_sha256")))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -215,6 +215,20 @@ def test_op10_equals_brute_force(spark, tmp_path, seed):
     assert got == removed(texts)
 
 
+@pytest.mark.parametrize("crowd", [1, 20_000])
+def test_op10_crowded_grams_and_awkward_ids(spark, crowd):
+    """Grams of many anchors are counted by whole spans; ids may be null, repeat or be too large for a double."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    tail = lambda: "".join(rng.choice("ijklmnop ") for _ in range(rng.randint(0, 400)))
+    texts = [tail() + passage[rng.randrange(300) :][: rng.randint(150, 600)] + tail() for _ in range(40)] + ["ab" * 300, "short", None]
+    texts += texts[:3]
+    ids = [None, None, 7, 7, (1 << 53) + 1, (1 << 53) + 2, *range(100, 100 + len(texts) - 6)]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, crowd=crowd).collect())
+    assert got == Counter((i, *removed(texts)[n]) for n, i in enumerate(ids))
+
+
 def test_op10_empty(spark):
     assert suffix_dedup.remove_repeats(documents(spark, ["x"]).limit(0)).count() == 0
 
