@@ -45,7 +45,7 @@ def part_name(stem: str, index: int, total: int, ext: str) -> str:
 
 
 def write_cci(image: bytes, cap: int = CCI_CAP) -> list[bytes]:
-    """Parts of header, slots and index. A part is closed once its next position would be above cap."""
+    """Parts of header, slots and index. A part is closed once its position is above cap."""
     need(len(image) % SECTOR == 0, "image isn't in whole sectors")
     parts: list[tuple[list[bytes], list[int]]] = []
     body: list[bytes] = []
@@ -60,7 +60,7 @@ def write_cci(image: bytes, cap: int = CCI_CAP) -> list[bytes]:
             slot = bytes([pad]) + packed + bytes(pad)
         else:
             slot = sector
-        if body and at + len(slot) > cap:
+        if at > cap:
             parts.append((body, words))
             body, words, at = [], [], 32
         words.append((at >> 2) | (small << 31))
@@ -132,9 +132,15 @@ def ciso_index(first: bytes) -> tuple[list[int], list[bool], list[int]]:
     return at, [bool(w >> 31) for w in words[:-1]], [0] + [i for i in range(1, n) if at[i] < at[i - 1]]
 
 
-def read_ciso(parts: list[bytes]) -> Iterator[bytes]:
+def ciso_parts(parts: list[bytes]) -> tuple[list[int], list[bool], list[int]]:
+    """The index, after a look at whether there are as many parts as it has."""
     at, flags, starts = ciso_index(parts[0])
     need(len(starts) <= len(parts), "fewer parts than the index has")
+    return at, flags, starts
+
+
+def read_ciso(parts: list[bytes]) -> Iterator[bytes]:
+    at, flags, starts = ciso_parts(parts)
     p = -1
     for i, flag in enumerate(flags):
         if p + 1 < len(starts) and starts[p + 1] == i:
@@ -409,13 +415,13 @@ def stfs_entries(table: bytes) -> list[tuple]:
 
 
 def xbe_header(data: bytes) -> dict:
-    """Title fields of the certificate, found through its address less the image's base."""
+    """Title fields of the certificate, found through its address less the image's base. Images of this kind have one disc."""
     need(len(data) >= 0x11C and data[:4] == b"XBEH", "no executable header")
     base, cert = struct.unpack_from("<I", data, 0x104)[0], struct.unpack_from("<I", data, 0x118)[0]
     at = cert - base
     need(0 <= at and at + 0xB0 <= len(data), "certificate lies outside the file")
     title_id = struct.unpack_from("<I", data, at + 8)[0]
-    return {"title_id": title_id, "title": data[at + 12 : at + 92].decode("utf-16-le", "replace").split("\0")[0], "media": struct.unpack_from("<I", data, at + 0x9C)[0], "disc_number": struct.unpack_from("<I", data, at + 0xA8)[0], "version": struct.unpack_from("<I", data, at + 0xAC)[0]}
+    return {"title_id": title_id, "title": data[at + 12 : at + 92].decode("utf-16-le", "replace").split("\0")[0], "media": struct.unpack_from("<I", data, at + 0x9C)[0], "media_id": 0, "disc_number": 1, "disc_count": 1, "version": struct.unpack_from("<I", data, at + 0xAC)[0], "base_version": 0}
 
 
 def xex_execution(data: bytes) -> dict:
@@ -433,7 +439,8 @@ def xdbf_find(data: bytes, entry: int, section: int, most: int = 65536) -> bytes
     """A resource by identifier and section. Data begins behind the tables' capacities, not the used rows."""
     need(len(data) >= 24 and data[:4] == b"XDBF", "no resource header")
     _, capacity, used, free, _ = struct.unpack_from(">IIIII", data, 4)
-    need(used <= most and 24 + 18 * used <= len(data), "resource table is cut off")
+    used = min(used, most)
+    need(24 + 18 * used <= len(data), "resource table is cut off")
     base = 24 + 18 * capacity + 8 * free
     for i in range(used):
         kind, ident, offset, size = struct.unpack_from(">HQII", data, 24 + 18 * i)
@@ -636,7 +643,8 @@ def xbe_sections(data: bytes, most: int = 4096) -> dict[str, bytes]:
     need(len(data) >= 0x124 and data[:4] == b"XBEH", "no executable header")
     base, n, at = struct.unpack_from("<I", data, 0x104)[0], *struct.unpack_from("<II", data, 0x11C)
     at -= base
-    need(n <= most and 0 <= at and at + 56 * n <= len(data), "section table lies outside the file")
+    n = min(n, most)
+    need(0 <= at and at + 56 * n <= len(data), "section table lies outside the file")
     out = {}
     for i in range(n):
         raw, size, name = struct.unpack_from("<III", data, at + 56 * i + 12)

@@ -10,14 +10,14 @@ from blockloom.sources import containers, formats, sinks
 from blockloom.streaming.early import watch
 
 
-def xbe(title_id=0x41560001, disc=1, size=0x400):
+def xbe(title_id=0x41560001, size=0x400):
     out = bytearray(size)
     out[:4] = b"XBEH"
     struct.pack_into("<I", out, 0x104, 0x10000)
     struct.pack_into("<I", out, 0x118, 0x10000 + 0x180)
     struct.pack_into("<I", out, 0x180 + 8, title_id)
     out[0x180 + 12 : 0x180 + 12 + 8] = "Game".encode("utf-16-le")
-    struct.pack_into("<II", out, 0x180 + 0xA8, disc, 7)
+    struct.pack_into("<II", out, 0x180 + 0xA8, 1, 7)
     return bytes(out)
 
 
@@ -116,13 +116,80 @@ def test_batch_scan(spark, tmp_path):
     kinds = {tuple(r.names): r.kind for r in b}
     assert kinds[("disc1", "disc2")] == "multiDiscSet" and kinds[("solo",)] == "standalone" and kinds[("junk",)] == "unresolved"
     assert any(r.kind == "rawSplit" and set(r.names) == {"p1", "p2", "p3"} and r.names[0] == "p1" for r in b)
-    assert {(r.kind, r.reason) for r in got if r.batch_id == "dup"} == {("unresolved", "disc number is claimed twice")}
+    assert {(r.kind, r.unresolved_kind) for r in got if r.batch_id == "dup"} == {("unresolved", "duplicateDiscClaim")}
+    discs = next(r for r in b if r.kind == "multiDiscSet")
+    assert (discs.title_id, discs.disc_count, [(d.name, d.disc_number) for d in discs.discs]) == ("0000004D", 2, [("disc1", 1), ("disc2", 2)])
+    split = next(r for r in b if r.kind == "rawSplit")
+    assert split.verify.ok and split.verify.root_offset == 0
     df.write.parquet(str(tmp_path / "in"))
     seen, errors = [], []
     watch(spark, str(tmp_path / "in"), str(tmp_path / "ck"), lambda rows, n: seen.extend(rows.collect()), errors).awaitTermination(120)
     assert len(seen) == len(got) and not errors
 
 
+def test_parts_close_above_the_cap():
+    """A compressed part is closed by the first sector that begins above its cap, so a part may reach past it; one whose
+    position equals the cap goes on. The other format closes at its cap."""
+    data = random.Random(2).randbytes(2048 * 6)
+    sectors = lambda parts: [(len(p) - 32) // 2048 for p in parts]
+    assert sectors(formats.write_cci(data, 32 + 2 * 2048)) == [3, 3]
+    assert sectors(formats.write_cci(data, 31 + 2 * 2048)) == [2, 2, 2]
+    head = 24 + 4 * 7
+    sizes = lambda cap: [len(p) for p in formats.write_ciso(data, cap)]
+    assert sizes(head + 2 * 2048)[0] == -(-(head + 2 * 2048) // 1024) * 1024 and sizes(head + 2 * 2048 + 1)[0] == -(-(head + 3 * 2048) // 1024) * 1024
+
+
+def test_batch_rules():
+    """Hash-tree folders, images without an executable, files that only look like one, ambiguous splits, named pairs."""
+    whole = image(9, extra=400_000)
+    cut = len(whole) // 2 // 2048 * 2048
+    resolve = batch_scan.resolve
+    bare = formats.write_volume({"a.bin": b"x"})
+    assert [(r["kind"], r["unresolved_kind"]) for r in resolve([("bare", bare)])] == [("unresolved", "generic")]
+    tree = formats.write_god(whole)[0]
+    assert [(r["kind"], r["names"]) for r in resolve([("t/a.data/Data0000", tree[0])])] == [("godFolder", ["t/a.data/Data0000"])]
+    two = [(f"t/{n}.data/Data0000", formats.write_god(image(n, {"default.xex": xex(5, n, 2)}))[0][0]) for n in (1, 2)]
+    assert [(r["kind"], r["names"]) for r in resolve(two)] == [("multiDiscSet", [n for n, _ in two])]
+    loose = [("disc2", image(2, {"default.xex": xex(5, 2, 2)}))]
+    assert {r["kind"] for r in resolve([*two[:1], ("t/z.data/Data0000", b"no"), *loose])} == {"standalone", "unresolved"}
+    looks = b"XBEH" + random.Random(1).randbytes(2044)
+    volume = formats.write_volume({"default.xbe": xbe(), "n.bin": looks})
+    at = volume.index(looks)
+    assert [r["names"] for r in resolve([("h", volume[:at]), ("tail.xbe", volume[at:])])] == [["h", "tail.xbe"]]
+    assert [r["kind"] for r in resolve([("h", volume[:at]), ("own.xbe", xbe())])] == ["unresolved"]
+    several = resolve([("h", whole[:cut]), ("x", whole[cut:]), ("y", whole[cut:])])
+    assert [(r["unresolved_kind"], sorted(r["names"])) for r in several] == [("ambiguousSplit", ["h", "x", "y"])]
+    same = resolve([("h", whole[:cut]), ("x", whole[cut:]), ("X", whole[cut:])])
+    assert [(r["kind"], len(r["names"])) for r in same] == [("rawSplit", 2), ("unresolved", 1)]
+    other = image(10, extra=400_000)
+    halves = [("a1", whole[:cut]), ("a2", whole[cut:]), ("b1", other[:cut]), ("b2", other[cut:])]
+    assert sum(r["kind"] == "unresolved" for r in resolve(halves)) == 1  # either half fits either header, so the pairing is open
+    exes = [formats.write_volume({"default.xbe": xbe(), "pad": bytes(100_000), "z.dll": b"MZ" + random.Random(n).randbytes(9000 * n)}) for n in (1, 2)]
+    apart = [(f"{n}{k}", e[:at] if k == 1 else e[at:]) for n, e in zip("ab", exes) for at in [len(e) // 2 // 2048 * 2048] for k in (1, 2)]
+    assert sorted(r["names"] for r in resolve(apart)) == [["a1", "a2"], ["b1", "b2"]]
+    cci = formats.write_cci(whole, 60_000)
+    pair = [("G.2.CCI", cci[1]), ("g.1.cci", cci[0]), ("other", b"0123456789")]
+    entry = batch_scan.resolve_entry
+    assert (entry(pair)["kind"], entry(pair)["names"], entry(pair)["format"]) == ("dir", ["g.1.cci", "G.2.CCI"], "cci")
+    assert entry([("g.1.cci", cci[0]), ("g.2.cci", b"no")])["unresolved_kind"] == "mismatch"
+    assert entry([("x", whole[cut:]), ("h", whole[:cut])])["names"] == ["h", "x"]
+    assert (entry([("g.cci", cci[0]), *pair])["kind"], entry([("g.cci", cci[0])])["format"]) == ("file", "cci")
+    assert entry([("x", whole[cut:]), ("h", whole[:cut]), ("h2", other[:cut])])["unresolved_kind"] == "ambiguousHeaders"
+
+
+def test_narrow_batch_tables(spark):
+    whole = image(9, extra=400_000)
+    cut = len(whole) // 2 // 2048 * 2048
+    rows = [("ok", 0, "h", whole[:cut]), ("ok", 1, "x", whole[cut:]), ("turned", 0, "x", whole[cut:]), ("turned", 1, "h", whole[:cut])]
+    df = spark.createDataFrame(rows, "batch_id string, place int, name string, content binary")
+    assert {r.batch_id: r.ok for r in batch_scan.check_orderings(df).collect()} == {"ok": True, "turned": False}
+    assert {(r.batch_id, r.name): r.is_complete for r in batch_scan.check_completeness(df).collect()} == {("ok", "h"): False, ("turned", "h"): False}
+    assert {(r.batch_id, r.kind, tuple(r.names)) for r in batch_scan.scan_entries(df).collect()} == {("ok", "dir", ("h", "x")), ("turned", "dir", ("h", "x"))}
+    done = batch_scan.scan(spark.createDataFrame([("b", "solo", IMAGE), ("b", "other", image(4))], "batch_id string, name string, content binary"))
+    left = batch_scan.reported_once(done, spark.createDataFrame([("b", "solo")], "batch_id string, name string"))
+    assert [r.names for r in left.collect()] == [["other"]]
+
+
 def test_codecs():
     text = bytes(range(256))
     assert codecs.to_windows_1252(codecs.from_windows_1252(text)) == text
@@ -136,6 +203,13 @@ def test_codecs():
             morton[(x & 1) | (y & 1) << 1 | (x & 2) << 1 | (y & 2) << 2 | (x & 4) << 2] = y * 8 + x
     assert codecs.unswizzle(8, 4, morton.tobytes(), 1)[..., 0].ravel().tolist() == list(range(32))
     assert codecs.run_lengths(b"abc", [(1, 2), (2, 1)]) == b"a\0\0bc\0"
+    with pytest.raises(ValueError):
+        codecs.run_lengths(b"abc", [(1, 1 << 40)])
+    wide = codecs.colours_565(np.array([(v << 11) | (2 * v << 5) | v for v in range(32)]))
+    assert [wide[v, 0] for v in (0, 3, 7, 20, 24, 25, 28, 29, 31)] == [0, 25, 58, 164, 197, 205, 230, 238, 255]
+    assert all(abs(int(wide[v, 0]) - v * 255 / 31) < 0.75 and abs(int(wide[v, 1]) - 2 * v * 255 / 63) < 0.75 for v in range(32))
+    assert codecs.dxt1(3, 5, block * 2).shape == (5, 3, 4) and codecs.dxt1(3, 5, block * 2)[0].tolist() == px[0, :3].tolist()
+    assert codecs.dxt3(2, 2, bytes(8) + block).shape == (2, 2, 4)
     assert formats.xdbf_find(b"XDBF" + struct.pack(">IIIII", 1, 2, 1, 1, 0) + struct.pack(">HQII", 2, 9, 3, 2) + bytes(18 + 8) + b"...OK", 9, 2) == b"OK"
 
 
