@@ -20,13 +20,14 @@ def version(packed: Column) -> Column:
     return F.concat_ws(".", *[field(packed, s, m).cast("string") for s, m in ((28, 15), (24, 15), (8, 65535), (0, 255))])
 
 
-def version_text(packed: Column, base: Column) -> Column:
-    """The version, with the base version in brackets unless that is zero."""
-    return F.when(base == 0, version(packed)).otherwise(F.concat(version(packed), F.lit(" ("), version(base), F.lit(")")))
+def version_text(packed: Column, base: Column, flat: Column) -> Column:
+    """The version, with the base version in brackets unless that is zero. Where flat, the number is a build count without fields."""
+    whole = F.when(base == 0, version(packed)).otherwise(F.concat(version(packed), F.lit(" (base "), version(base), F.lit(")")))
+    return F.when(flat, packed.cast("string")).otherwise(whole)
 
 
 def disc_title(title: Column, number: Column, count: Column) -> Column:
-    return F.when(count > 1, F.concat(title, F.lit(" (Disc "), number.cast("string"), F.lit(")"))).otherwise(title)
+    return F.when(count > 1, F.concat(title, F.lit(" (Disc "), number.cast("string"), F.lit("/"), count.cast("string"), F.lit(")"))).otherwise(title)
 
 
 #: Fixed: the year's mask of the packed time keeps these bits.
@@ -34,9 +35,9 @@ DOS_YEAR_MASK = 0xEF
 
 
 def dos_time(ts: Column) -> Column:
-    """A time as 32 packed bits: year from 1980, month, day, hour, minute, half seconds."""
+    """A time as 32 packed bits: year from 1980, month, day, hour, minute, and the low five bits of the second."""
     year = (F.year(ts) - 1980).bitwiseAND(F.lit(DOS_YEAR_MASK)).cast("long")
-    parts = [F.shiftleft(year, 25), F.shiftleft(F.month(ts).cast("long"), 21), F.shiftleft(F.dayofmonth(ts).cast("long"), 16), F.shiftleft(F.hour(ts).cast("long"), 11), F.shiftleft(F.minute(ts).cast("long"), 5), F.shiftrightunsigned(F.second(ts).cast("long"), 1)]
+    parts = [F.shiftleft(year, 25), F.shiftleft(F.month(ts).cast("long"), 21), F.shiftleft(F.dayofmonth(ts).cast("long"), 16), F.shiftleft(F.hour(ts).cast("long"), 11), F.shiftleft(F.minute(ts).cast("long"), 5), F.second(ts).cast("long").bitwiseAND(F.lit(31).cast("long"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.bitwiseOR(p)
@@ -56,12 +57,12 @@ def morton(x: Column, y: Column) -> Column:
 
 
 def rgb565(c: Column, replicate: bool) -> list[Column]:
-    """Eight-bit channels of a 16-bit colour: low bits repeated from the high ones, or left zero."""
+    """Eight-bit channels of a 16-bit colour: spread over 0 to 255 and rounded, or shifted up with low bits zero."""
     out = []
     for shift, bits in ((11, 5), (5, 6), (0, 5)):
         v = field(c, shift, (1 << bits) - 1)
-        wide = F.shiftleft(v, 8 - bits)
-        out.append(wide.bitwiseOR(F.shiftrightunsigned(v, 2 * bits - 8)) if replicate else wide)
+        t = v * 255 + (1 << bits - 1)
+        out.append(F.shiftrightunsigned(F.shiftrightunsigned(t, bits) + t, bits) if replicate else F.shiftleft(v, 8 - bits))
     return out
 
 

@@ -31,8 +31,10 @@ def unzstd(data: bytes, most: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data, max_output_size=most)
 
 
-def run_lengths(pairs: bytes, blocks: list[tuple[int, int]]) -> bytes:
-    """Runs of stored bytes, each followed by so many zeros."""
+def run_lengths(pairs: bytes, blocks: list[tuple[int, int]], most: int = 1 << 30) -> bytes:
+    """Runs of stored bytes, each followed by so many zeros, `most` bytes in all at most."""
+    if sum(stored + zeros for stored, zeros in blocks) > most:
+        raise ValueError(f"runs make more than {most} bytes")
     out, at = bytearray(), 0
     for stored, zeros in blocks:
         if at + stored > len(pairs):
@@ -57,17 +59,31 @@ def to_windows_1252(text: str) -> bytes:
 
 
 def colours_565(c: np.ndarray) -> np.ndarray:
-    """RGB of 16-bit colours, low bits repeated from the high ones."""
-    r, g, b = (c >> 11) & 31, (c >> 5) & 63, c & 31
-    return np.stack([(r << 3) | (r >> 2), (g << 2) | (g >> 4), (b << 3) | (b >> 2)], axis=-1).astype(np.int32)
+    """RGB of 16-bit colours, each channel spread over 0 to 255 and rounded."""
+    parts = []
+    for shift, bits in ((11, 5), (5, 6), (0, 5)):
+        t = (c >> shift & (1 << bits) - 1) * 255 + (1 << bits - 1)
+        parts.append((t >> bits) + t >> bits)
+    return np.stack(parts, axis=-1).astype(np.int32)
+
+
+def blocks_of(width: int, height: int, data: bytes, size: int) -> np.ndarray:
+    """A texture's four-by-four blocks, a row of so many bytes each; the last ones of a side may reach past it."""
+    n = -(-width // 4) * -(-height // 4) * size
+    if len(data) < n:
+        raise ValueError("texture is short")
+    return np.frombuffer(data[:n], dtype=np.uint8).reshape(-1, size).astype(np.uint32)
+
+
+def laid_out(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    wide, high = -(-width // 4), -(-height // 4)
+    return pixels.reshape(high, wide, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(4 * high, 4 * wide, 4)[:height, :width].astype(np.uint8)
 
 
 def dxt1(width: int, height: int, data: bytes) -> np.ndarray:
     """RGBA pixels of a texture of four-by-four blocks with two end colours; a first colour not above the second has one
     mean and one clear entry."""
-    if width % 4 or height % 4 or len(data) < width * height // 2:
-        raise ValueError("texture is short or not in whole blocks")
-    b = np.frombuffer(data[: width * height // 2], dtype=np.uint8).reshape(-1, 8).astype(np.uint32)
+    b = blocks_of(width, height, data, 8)
     c0, c1 = b[:, 0] | b[:, 1] << 8, b[:, 2] | b[:, 3] << 8
     p0, p1 = colours_565(c0), colours_565(c1)
     four = (c0 > c1)[:, None]
@@ -79,8 +95,7 @@ def dxt1(width: int, height: int, data: bytes) -> np.ndarray:
     table[:, 3, 3] = np.where(four[:, 0], 255, 0)
     bits = b[:, 4] | b[:, 5] << 8 | b[:, 6] << 16 | b[:, 7] << 24
     pick = (bits[:, None] >> np.arange(0, 32, 2, dtype=np.uint32)) & 3
-    pixels = table[np.arange(len(b))[:, None], pick].reshape(height // 4, width // 4, 4, 4, 4)
-    return pixels.transpose(0, 2, 1, 3, 4).reshape(height, width, 4).astype(np.uint8)
+    return laid_out(table[np.arange(len(b))[:, None], pick], width, height)
 
 
 def unswizzle(width: int, height: int, data: bytes, pixel: int) -> np.ndarray:
@@ -102,16 +117,14 @@ def unswizzle(width: int, height: int, data: bytes, pixel: int) -> np.ndarray:
 
 def dxt3(width: int, height: int, data: bytes) -> np.ndarray:
     """As dxt1 with four colours always, and four bits of opacity a pixel before each block's colours."""
-    if width % 4 or height % 4 or len(data) < width * height:
-        raise ValueError("texture is short or not in whole blocks")
-    b = np.frombuffer(data[: width * height], dtype=np.uint8).reshape(-1, 16).astype(np.uint32)
+    b = blocks_of(width, height, data, 16)
     p0, p1 = colours_565(b[:, 8] | b[:, 9] << 8), colours_565(b[:, 10] | b[:, 11] << 8)
     table = np.stack([p0, p1, (2 * p0 + p1) // 3, (p0 + 2 * p1) // 3], axis=1)
     bits = b[:, 12] | b[:, 13] << 8 | b[:, 14] << 16 | b[:, 15] << 24
     pick = (bits[:, None] >> np.arange(0, 32, 2, dtype=np.uint32)) & 3
     clear = np.stack([b[:, :8] & 15, b[:, :8] >> 4], axis=-1).reshape(-1, 16) * 17
     pixels = np.concatenate([table[np.arange(len(b))[:, None], pick], clear[..., None]], axis=-1)
-    return pixels.reshape(height // 4, width // 4, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(height, width, 4).astype(np.uint8)
+    return laid_out(pixels, width, height)
 
 
 def from_words(words: np.ndarray, code: int) -> np.ndarray:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from blockloom.operators.blocks import quotient
@@ -14,13 +19,24 @@ def prefix_offset(value: Column, by: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
-def global_offset(df: DataFrame, key: str, value: str, out: str, width: int = 4096) -> DataFrame:
+def _starts(sums: DataFrame, width: int, levels: int) -> DataFrame:
+    """(_stretch, _start) from (_stretch, _sum): stretches are dealt in longer ones, and those again."""
+    before = lambda w: F.coalesce(F.sum("_sum").over(w.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if not levels:
+        return sums.select("_stretch", before(W.partitionBy()).alias("_start"))
+    cut = sums.withColumn("_above", F.expr(f"_stretch div {width}"))
+    above = _starts(cut.groupBy(F.col("_above").alias("_stretch")).agg(F.sum("_sum").alias("_sum")), width, levels - 1)
+    inside = cut.select("_stretch", "_above", before(W.partitionBy("_above")).alias("_inside"))
+    return inside.join(above.select(F.col("_stretch").alias("_above"), "_start"), "_above").select("_stretch", (F.col("_start") + F.col("_inside")).alias("_start"))
+
+
+def global_offset(df: DataFrame, key: str, value: str, out: str, width: int = 4096, levels: int = 3) -> DataFrame:
     """Exclusive running sum over the whole table in the order of a unique whole-number key, without a window over all
-    rows: keys are dealt in stretches of width, and a stretch begins where the sum of those before it ends. Only a row
-    for each stretch meets in one task."""
+    rows: keys are dealt in stretches of width, these in stretches of width stretches, and so on for so many levels. A
+    window holds at most width rows, and the last one those of the key's range over width to the power levels + 1: with
+    the defaults one row for keys below 2^48, 65,536 for any, however sparse they are."""
     cut = df.withColumn("_stretch", F.expr(f"{key} div {width}"))
-    sums = cut.groupBy("_stretch").agg(F.sum(value).alias("_sum"))
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(W.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    starts = _starts(cut.groupBy("_stretch").agg(F.sum(value).alias("_sum")), width, levels)
     within = F.coalesce(F.sum(value).over(W.partitionBy("_stretch").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return cut.withColumn("_within", within).join(starts, "_stretch").withColumn(out, (F.col("_start") + F.col("_within")).cast("long")).drop("_stretch", "_within", "_start")
 
@@ -36,17 +52,37 @@ def part_name(stem: Column, number: Column, total: Column, ext: str) -> Column:
     return F.when(total == 1, F.concat(stem, F.lit(f".{ext}"))).otherwise(F.concat(stem, F.lit("."), (number + 1).cast("string"), F.lit(f".{ext}")))
 
 
-def greedy_parts(items: Column, cap: int) -> Column:
-    """Fold over an ordered array of (order..., size): each item's part number, where a part is closed once it and the
-    next item would be above cap. The fold stays in the JVM; a stream's items must fit in one row."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x["size"] > cap)
-        part = acc["part"] + over.cast("int")
-        return F.struct((F.when(over, F.lit(0).cast("long")).otherwise(acc["used"]) + x["size"]).alias("used"), part.alias("part"), F.array_append(acc["parts"], part).alias("parts"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["parts"])
+def greedy_split(df: DataFrame, by: str, order: list[str], size: str, cap: int, at_cap: bool = False, out: str = "part_no") -> DataFrame:
+    """Each item's part number within its stream: a part is closed once its length is above cap (or at it, if at_cap),
+    so its last item may reach past. Streams are read in order from sorted batches with only the open part's length
+    kept, so they may be of any length; one stream is read by one task. Sizes that are null count as 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, used, part, begun = None, 0, 0, False
+        for batch in batches:
+            keys, sizes = batch.column(by).to_pylist(), batch.column(size).fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            parts = np.empty(len(keys), dtype=np.int32)
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if not begun or keys[lo] != stream:
+                    stream, used, part, begun = keys[lo], 0, 0, True
+                ends = np.cumsum(sizes[lo:hi], dtype=np.int64)
+                at, base = 0, 0
+                while at < len(ends):
+                    if used > cap or (at_cap and used == cap):
+                        used, part = 0, part + 1
+                    # the first item after which the part is closed
+                    last = int(np.searchsorted(ends, cap - used + base, side="left" if at_cap else "right"))
+                    last = min(max(last, at), len(ends) - 1)
+                    parts[lo + at : lo + last + 1] = part
+                    used += int(ends[last]) - base
+                    at, base = last + 1, int(ends[last])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts)], [*batch.schema.names, out])
+
+    fields = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, fields)
 
 
 def locate(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str, width: int) -> DataFrame:

@@ -75,14 +75,12 @@ def q_part_names(spark, sf_dir):
 
 @query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
 walk AS (SELECT o_custkey, o_orderkey, i, size AS used, 0 AS part_no FROM o WHERE i = 1
-  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.i, CASE WHEN walk.used > 0 AND walk.used + o.size > 100000000 THEN o.size ELSE walk.used + o.size END,
-    CASE WHEN walk.used > 0 AND walk.used + o.size > 100000000 THEN walk.part_no + 1 ELSE walk.part_no END FROM walk JOIN o ON o.o_custkey = walk.o_custkey AND o.i = walk.i + 1)
+  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.i, CASE WHEN walk.used > 100000000 THEN o.size ELSE walk.used + o.size END,
+    CASE WHEN walk.used > 100000000 THEN walk.part_no + 1 ELSE walk.part_no END FROM walk JOIN o ON o.o_custkey = walk.o_custkey AND o.i = walk.i + 1)
 SELECT o_custkey, o_orderkey, CAST(part_no AS INTEGER) AS part_no FROM walk""")
 def q_greedy_split(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("size"))
-    items = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "size"))).alias("items"))
-    parts = items.select("o_custkey", F.explode(F.arrays_zip(F.transform("items", lambda x: x["o_orderkey"]).alias("o_orderkey"), L.greedy_parts(F.col("items"), 100_000_000).alias("part_no"))).alias("x"))
-    return parts.select("o_custkey", "x.o_orderkey", "x.part_no")
+    return L.greedy_split(o, "o_custkey", ["o_orderkey"], "size", 100_000_000).select("o_custkey", "o_orderkey", "part_no")
 
 
 @query(f"""WITH d AS ({_DOC_OFFSETS}), q AS (SELECT unnest(generate_series(0, (SELECT CAST(max(start + size) AS BIGINT) - 1 FROM d), 10007)) AS point)

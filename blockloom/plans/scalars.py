@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from blockloom.functions import bits as B
+from blockloom.functions import titles as TT
+from blockloom.operators import precedence as P
 from blockloom.operators.layout import global_offset
 from blockloom.operators.search import order_groups, search_groups
 from blockloom.operators.trees import build_paths, number_level
@@ -23,7 +25,7 @@ def q_hex_id(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", B.hex_id(F.col("p_partkey") * 40503).alias("id"))
 
 
-@query("""SELECT p_partkey, CASE WHEN count(*) OVER w > 1 THEN p_name || ' (Disc ' || row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) || ')' ELSE p_name END AS title
+@query("""SELECT p_partkey, CASE WHEN count(*) OVER w > 1 THEN p_name || ' (Disc ' || row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) || '/' || count(*) OVER w || ')' ELSE p_name END AS title
 FROM part WINDOW w AS (PARTITION BY p_name, p_brand)""")
 def q_disc_title(spark, sf_dir):
     w = W.partitionBy("p_name", "p_brand")
@@ -33,19 +35,30 @@ def q_disc_title(spark, sf_dir):
 _VERSION = "concat_ws('.', CAST((v >> 28) & 15 AS VARCHAR), CAST((v >> 24) & 15 AS VARCHAR), CAST((v >> 8) & 65535 AS VARCHAR), CAST(v & 255 AS VARCHAR))"
 
 
-@query(f"""SELECT p_partkey, CASE WHEN base = 0 THEN {_VERSION} ELSE {_VERSION} || ' (' || {_VERSION.replace('(v', '(base').replace('CAST(v ', 'CAST(base ')} || ')' END AS version
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN CAST(v AS VARCHAR) WHEN base = 0 THEN {_VERSION} ELSE {_VERSION} || ' (base ' || {_VERSION.replace('(v', '(base').replace('CAST(v ', 'CAST(base ')} || ')' END AS version
 FROM (SELECT p_partkey, (p_partkey * 2654435761) % 4294967296 AS v, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE (p_partkey * 40503) % 4294967296 END AS base FROM part)""")
 def q_version(spark, sf_dir):
     k = F.col("p_partkey")
     base = F.when(k % 3 == 0, F.lit(0).cast("long")).otherwise(k * 40503 % (1 << 32))
-    return _part(spark, sf_dir).select("p_partkey", B.version_text(k * 2654435761 % (1 << 32), base).alias("version"))
+    return _part(spark, sf_dir).select("p_partkey", B.version_text(k * 2654435761 % (1 << 32), base, k % 5 == 0).alias("version"))
 
 
-@query("""SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'game' WHEN 'STANDARD' THEN 'game' WHEN 'PROMO' THEN 'demo' WHEN 'SMALL' THEN 'media' END AS family,
-coalesce(p_type IN ('ECONOMY', 'PROMO'), false) AS needs_exe FROM part""")
+_CODES = "[28672, 20480, 851968, 4096, 16384, 524288, 589824, 33554432, 917504, 1, 2, 3, 8192, 32768, 36864, 65536, 131072, 196608, 262144, 327680, 393216, 458752, 655360, 720896, 786432, 983040, 1048576, 2097152, 3145728, 4194304, 5242880, 6291456, 0, 16711680]"
+_TYPE_NAMES = "['gamesOnDemand', 'xboxOriginal', 'arcadeGame', 'xbox360Title', 'installedGame', 'gameDemo', 'video', 'communityGame', 'xna', 'savedGame', 'marketPlaceContent', 'publisher', 'iptvPauseBuffer', 'avatarAssetPack', 'avatarItem', 'profile', 'gamerPicture', 'theme', 'cacheFile', 'storageDownload', 'xboxSavedGame', 'xboxDownload', 'gamerTitle', 'installer', 'gameTrailer', 'licenseStore', 'movie', 'tv', 'musicVideo', 'gameVideo', 'podcastVideo', 'viralVideo']"
+_TYPE_LABELS = "['Games on Demand', 'Xbox Original', 'Arcade Game', 'Xbox 360 Title', 'Installed Game', 'Game Demo', 'Video', 'Community Game', 'XNA', 'Saved Game', 'Marketplace Content', 'Publisher', 'IPTV Pause Buffer', 'Avatar Asset Pack', 'Avatar Item', 'Profile', 'Gamer Picture', 'Theme', 'Cache File', 'Storage Download', 'Xbox Saved Game', 'Xbox Download', 'Gamer Title', 'Installer', 'Game Trailer', 'License Store', 'Movie', 'TV', 'Music Video', 'Game Video', 'Podcast Video', 'Viral Video']"
+_BOOTABLE = "(28672, 20480, 851968, 4096, 16384, 524288, 33554432, 917504)"
+
+
+@query(f"""SELECT p_partkey, code, ({_TYPE_NAMES})[i] AS content_type, ({_TYPE_LABELS})[i] AS label, CASE WHEN i > 32 THEN NULL WHEN code IN {_BOOTABLE} THEN 'bootable' WHEN code = 65536 THEN 'profileAccount'
+  WHEN code IN (1, 393216, 2, 36864, 720896) THEN 'titleAttached' ELSE 'standaloneAsset' END AS family, code IN {_BOOTABLE} AS needs_exe
+FROM (SELECT p_partkey, CAST(p_partkey % 34 + 1 AS INTEGER) AS i, ({_CODES})[p_partkey % 34 + 1] AS code FROM part)""")
 def q_family(spark, sf_dir):
-    families = F.create_map(*[F.lit(x) for x in ("ECONOMY", "game", "STANDARD", "game", "PROMO", "demo", "SMALL", "media")])
-    return _part(spark, sf_dir).select("p_partkey", F.try_element_at(families, F.col("p_type")).alias("family"), F.coalesce(F.col("p_type").isin("ECONOMY", "PROMO"), F.lit(False)).alias("needs_exe"))
+    """Every content type's code and two that aren't known, dealt over the parts."""
+    codes = F.array(*[F.lit(c) for _, c, _ in TT.CONTENT_TYPES], F.lit(0), F.lit(0xFF0000))
+    code = F.element_at(codes, (F.col("p_partkey") % 34 + 1).cast("int"))
+    parts = _part(spark, sf_dir).select("p_partkey", code.alias("code"))
+    c = F.col("code")
+    return parts.select("p_partkey", "code", TT.content_type(c).alias("content_type"), TT.content_label(c).alias("label"), TT.family(c).alias("family"), TT.boots(c).alias("needs_exe"))
 
 
 @query("SELECT p_partkey, (p_size & 16) <> 0 AS is_dir, p_size | 7 AS with_media, p_size & ~6 AS cleared, (p_size & ~12) | 8 AS updated FROM part WHERE (p_size & 32) = 0")
@@ -56,7 +69,7 @@ def q_bitflags(spark, sf_dir):
 
 
 @query("""SELECT event_id, CAST(((CAST(year(ts) - 1980 AS BIGINT) & 239) << 25) | (CAST(month(ts) AS BIGINT) << 21) | (CAST(day(ts) AS BIGINT) << 16)
-| (CAST(hour(ts) AS BIGINT) << 11) | (CAST(minute(ts) AS BIGINT) << 5) | (CAST(floor(second(ts)) AS BIGINT) >> 1) AS BIGINT) & 4294967295 AS packed FROM events""")
+| (CAST(hour(ts) AS BIGINT) << 11) | (CAST(minute(ts) AS BIGINT) << 5) | (CAST(floor(second(ts)) AS BIGINT) & 31) AS BIGINT) & 4294967295 AS packed FROM events""")
 def q_dos_time(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", B.dos_time(F.col("ts")).alias("packed"))
 
@@ -87,7 +100,10 @@ def q_morton(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", B.morton(low(k), low(k * 7)).alias("code"))
 
 
-@query("""SELECT p_partkey, ((c >> 11) << 3) | ((c >> 11) >> 2) AS r, ((c >> 5 & 63) << 2) | ((c >> 5 & 63) >> 4) AS g, ((c & 31) << 3) | ((c & 31) >> 2) AS b,
+_WIDE = "(((({v}) * 255 + {add}) // {div}) + (({v}) * 255 + {add})) // {div}"
+
+
+@query(f"""SELECT p_partkey, {_WIDE.format(v="c >> 11", add=16, div=32)} AS r, {_WIDE.format(v="c >> 5 & 63", add=32, div=64)} AS g, {_WIDE.format(v="c & 31", add=16, div=32)} AS b,
 (c >> 11) << 3 AS r0, (c >> 5 & 63) << 2 AS g0, (c & 31) << 3 AS b0 FROM (SELECT p_partkey, p_partkey * 40503 % 65536 AS c FROM part)""")
 def q_rgb565(spark, sf_dir):
     c = F.col("p_partkey") * 40503 % 65536
@@ -103,12 +119,33 @@ def q_dim_lookup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(titles, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "title", B.hex_id(F.col("l_partkey")).alias("id"))
 
 
-@query("""SELECT doc_id, coalesce(CAST(quality AS VARCHAR), lang, source, 'none') AS value, CASE WHEN quality IS NOT NULL THEN 'override' WHEN lang IS NOT NULL THEN 'header' WHEN source IS NOT NULL THEN 'table' ELSE 'default' END AS taken_from
-FROM documents LEFT JOIN labels USING (doc_id)""")
+_SOURCES = """SELECT o_orderkey AS k, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 851968 END AS ov, CASE WHEN o_orderkey % 3 = 0 THEN 65536 END AS hd, CASE WHEN o_orderkey % 2 = 0 THEN 28672 END AS de,
+CASE WHEN o_orderkey % 7 = 0 THEN 16711680 END AS raw, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS title_ov, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 2500 END AS exe,
+CASE WHEN o_orderkey % 8 = 0 THEN 'own' END AS name_ov, CASE WHEN o_orderkey % 10 = 0 THEN 'header' END AS name_hd, o_orderkey % 2 = 1 AS signed, CAST(o_orderkey % 3 AS INTEGER) AS discs FROM orders"""
+
+
+@query(f"""WITH s AS ({_SOURCES}), t AS (SELECT *, coalesce(title_ov, exe, CASE WHEN coalesce(ov, hd, de) IN {_BOOTABLE} THEN NULL ELSE 0 END) AS title_id FROM s)
+SELECT k, coalesce(ov, hd, de, raw, 28672) AS content_type, CASE WHEN k % 6 = 0 THEN '0102030405' WHEN k % 9 = 0 THEN 'AABBCCDDEE' ELSE '0000000000' END AS console_id, title_id,
+CASE WHEN title_id IS NULL THEN 'no launch executable names a title' END AS title_reason, coalesce(name_ov, name_hd, p_name) AS display_name,
+coalesce(name_ov, CASE WHEN discs > 1 THEN p_name || ' (Disc 1/' || discs || ')' ELSE p_name END) AS tree_title,
+CASE WHEN NOT signed THEN coalesce(de, 20480) WHEN de = 28672 THEN 16384 END AS tree_type, CASE WHEN signed AND coalesce(de, 20480) <> 28672 THEN 'only games on demand can be signed' END AS tree_reason,
+CASE WHEN k % 3 = 0 THEN 'executable' WHEN k % 4 = 0 THEN 'header' END AS thumbnail, CASE WHEN k % 6 = 0 THEN o_custkey ELSE k END AS profile_id
+FROM t LEFT JOIN part ON p_partkey = title_id""")
 def q_precedence(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    taken = F.when(F.col("quality").isNotNull(), "override").when(F.col("lang").isNotNull(), "header").when(F.col("source").isNotNull(), "table").otherwise("default")
-    return d.select("doc_id", F.coalesce(F.col("quality").cast("string"), "lang", "source", F.lit("none")).alias("value"), taken.alias("taken_from"))
+    """Every field that several places may name, over orders that name them in all combinations; part is the title table."""
+    s = table(spark, sf_dir, "orders").selectExpr(*_SOURCES.replace("\n", " ").removeprefix("SELECT ").removesuffix(" FROM orders").split(", "))
+    c = {n: F.col(n) for n in s.columns}
+    title_id, reason = P.package_title_id(c["title_ov"], c["exe"], F.coalesce("ov", "hd", "de"))
+    titles = _part(spark, sf_dir).select(F.col("p_partkey").alias("title_id"), F.col("p_name").alias("listed"))
+    s = s.withColumns({"title_id": title_id, "title_reason": reason}).join(titles, "title_id", "left")
+    own = lambda n, x: F.when(F.col("k") % n == 0, x)
+    console = P.identifier(own(6, F.unhex(F.lit("0102030405"))), own(9, F.unhex(F.lit("AABBCCDDEE"))), 5)
+    tree_type, tree_reason = P.tree_type(c["signed"], F.coalesce("de", F.lit(TT.CODES["xboxOriginal"])))
+    return s.select(
+        "k", P.package_type(c["ov"], c["hd"], c["de"], c["raw"]).alias("content_type"), F.hex(console).alias("console_id"), "title_id", "title_reason", P.package_name(c["name_ov"], c["name_hd"], F.col("listed")).alias("display_name"),
+        P.tree_title(c["name_ov"], F.col("listed"), F.lit(1), c["discs"]).alias("tree_title"), tree_type.alias("tree_type"), tree_reason.alias("tree_reason"),
+        P.thumbnail(own(3, F.lit("executable")), own(4, F.lit("header"))).alias("thumbnail"), P.profile_id(own(6, F.col("o_custkey")), F.col("k")).alias("profile_id"),
+    )
 
 
 @query("""SELECT f.p_partkey, coalesce(o.bytes, f.bytes) AS bytes, o.bytes IS NOT NULL AND length(o.bytes) <> length(f.bytes) AS wrong_size

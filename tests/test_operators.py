@@ -42,8 +42,31 @@ def test_hash_rollup_beyond_one_upper_list(spark):
 
 
 def test_greedy_boundary(spark):
-    df = spark.createDataFrame([(1, [(1, 5), (2, 5), (3, 1), (4, 20), (5, 1)])], "id int, items array<struct<k:int,size:bigint>>")
-    assert df.select(layout.greedy_parts(F.col("items"), 10)).first()[0] == [0, 0, 1, 2, 3]
+    """A part is closed once it is above its cap, or at it; batches and streams of any length."""
+    rows = [("a", k, n) for k, n in enumerate((5, 5, 1, 20, 1, 0))] + [(None, 0, 30), (None, 1, 1), ("z", 0, None)]
+    rows += [("long", k, k * 7 % 13) for k in range(25_000)]
+    df = spark.createDataFrame(rows, "id string, k int, size long").repartition(3)
+    for at_cap in (False, True):
+        got = {(r.id, r.k): r.part_no for r in layout.greedy_split(df, "id", ["k"], "size", 10, at_cap).collect()}
+        want, used, part, last = {}, 0, 0, 0
+        for i, k, n in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+            if k == 0:
+                used, part = 0, 0
+            if used > 10 or (at_cap and used == 10):
+                used, part = 0, part + 1
+            want[(i, k)] = part
+            used += n or 0
+        assert got == want
+    assert [want[("a", k)] for k in range(6)] == [0, 0, 1, 1, 2, 2]
+
+
+def test_global_offset_of_sparse_keys(spark):
+    keys = [(k * 0x9E3779B97F4A7C15) % (1 << 63) for k in range(1000)] + [0, 1, (1 << 63) - 1]
+    df = spark.createDataFrame([(k, i % 5) for i, k in enumerate(keys)], "id long, v long")
+    want, total = {}, 0
+    for k, v in sorted((k, i % 5) for i, k in enumerate(keys)):
+        want[k], total = total, total + v
+    assert {r.id: r.o for r in layout.global_offset(df, "id", "v", "o").collect()} == want
 
 
 def test_global_offset_is_partition_invariant(spark):
