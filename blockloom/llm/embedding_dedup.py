@@ -1,14 +1,20 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill.
 
-Vectors of one label and length start in one node of each of TREES trees. A node of more than LEAF vectors is split at
-the median of a random projection; vectors within a margin of it go to both sides, so that a pair at the threshold is
-seldom parted. Each level of a tree has one direction, so that all projections are taken in one pass and the splits are
-plain aggregates and joins. Vectors of a leaf are compared with each other in double precision, and links are united.
-
-A node that a split hardly shrinks holds vectors that lie close together. Its pairs are compared in full, block by
-block, whatever its size. A pair may meet in several leaves; it is counted only in the one of lowest key, which each
-row finds from the list of leaves its vectors are in. So no pair leaves a task: a task gives link counts and at most
-one edge fewer than its vectors.
+Vectors of one label and length start in one node of each tree. A node of more than LEAF vectors is split along a random
+projection, at the place between two of its quantiles where gap and balance are best, so that a cut seldom goes through
+a crowd; vectors within a margin of it go to both sides, at most SPILLS times on a path, so a tree holds at most
+2 to the power SPILLS copies of a vector however deep it is. Each level of a tree has one direction, so all projections
+are taken in one pass and the splits are plain aggregates and joins. Vectors of a leaf are compared with each other in
+double precision, and links are united.
+
+The number of trees follows from the target recall and the size of the largest label: a pair at the threshold is parted
+by a level with a chance that comes from its projected difference and the margin, and levels double with the size.
+
+A node whose spread along STUCK directions on end is below that of a cluster of vectors that are mostly linked (TIGHT)
+isn't split: its pairs are compared in full, block by block, whatever its size, since most of them are links that are to
+be counted. Nodes of equal members, from other trees, are compared once. A pair may meet in several leaves; it is counted
+only in the one of lowest key, which each row finds from the list of leaves its vectors are in. So no pair leaves a task:
+a task gives link counts and at most one edge fewer than its vectors.
 
 Equal vectors are one vertex with a count. Vectors that are null, empty or zero, or hold a null or a number that isn't
 finite, and those whose label or id is null, link with nothing. Rows that repeat an id and its vector count as copies
@@ -17,6 +23,8 @@ three columns named are read."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +34,28 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import Scratch, components, partitions, runs, table
 
-TREES, LEAF, LEVELS, STUCK, SEED = 4, 384, 40, 0.8, 17
-#: The margin on each side of a split, in standard deviations of the projected difference of a pair at the threshold.
-MARGIN = 0.8
+LEAF, BLOCK, SPILLS, STUCK, SEED, RECALL = 384, 1024, 2, 2, 17, 0.995
+#: In standard deviations of the projected difference of a pair at the threshold: the margin on each side of a split, and
+#: the spread up to which a node is a cluster of vectors that are mostly linked.
+MARGIN, TIGHT = 0.3, 0.85
+#: Quantiles of a node's projections; it is split between two of them.
+QUANTILES = [k / 20 for k in range(1, 20)]
+
+
+def parted(threshold: float, margin: float) -> float:
+    """Chance that a level parts a pair at the threshold, for directions of all vectors evenly spread: the chance to lie
+    on both sides of the cut, farther from it than the margin."""
+    x = 2 * margin
+    beyond = 2 * (math.exp(-x * x / 2) / math.sqrt(2 * math.pi) - x * math.erfc(x / math.sqrt(2)) / 2)
+    return math.sqrt(2 - 2 * threshold) / math.sqrt(2 * math.pi) * beyond
+
+
+def forest(threshold: float, vectors: int, leaf: int, recall: float = RECALL) -> tuple[int, int]:
+    """Trees, and levels at most, for a largest label of so many vectors. Spill lasts for about half of the levels."""
+    depth = max(0.0, math.log2(max(vectors, 1) / leaf))
+    together = (1 - (parted(threshold, MARGIN) + parted(threshold, 0.0)) / 2) ** depth
+    trees = 1 if together == 1 else max(2, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+    return trees, 12 + 2 * math.ceil(depth)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -90,14 +117,11 @@ def compare(threshold: float):
                     break
                 root = low_root
             own, lists = part.column("key")[0].as_py(), part.column("leaves")
-            seen: dict[int, int] = {}
-            r, c = [], []
-            for i, j in enumerate(at.tolist()):
-                for k in lists[j].as_py():
-                    if k < own:
-                        r.append(i)
-                        c.append(seen.setdefault(k, len(seen)))
+            earlier = [(i, k) for i, j in enumerate(at.tolist()) for k in lists[j].as_py() if k < own]
+            often = Counter(k for _, k in earlier)
+            seen = {k: i for i, k in enumerate(k for k, n in often.items() if n > 1)}
             if seen:
+                r, c = zip(*[(i, seen[k]) for i, k in earlier if k in seen])
                 member = np.zeros((len(at), len(seen)), dtype=np.float32)
                 member[r, c] = 1
                 near &= member @ member.T < 0.5  # else an earlier leaf has the pair
@@ -110,7 +134,14 @@ def compare(threshold: float):
     return run
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def distinct_leaves(leaves: DataFrame) -> DataFrame:
+    """Leaves of (key, id), of those with equal members one; with n, their size. Members are told by hashes of their ids."""
+    sums = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    sized = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return leaves.join(sized.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "key")
+
+
+def near_vectors(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", leaf: int = LEAF, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     spark = rows.sparkSession
     scratch, n_parts = Scratch(spark, "vectors"), partitions(spark)
@@ -122,29 +153,37 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id
     classes = own.where("sound").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     classes = scratch.write(classes, "classes")
 
-    level = classes.select("id", "label", "embedding").mapInArrow(project(trees, LEVELS), "id long, label long, dim int, tree int, at array<float>")
-    level = level.select(F.xxhash64("tree", "label", "dim").alias("key"), "id", "dim", "at", F.lit(1 << 60).alias("parent"))
+    largest = classes.groupBy("label", F.size("embedding")).count().agg(F.max("count")).first()[0] or 0
+    trees, levels = forest(threshold, largest, leaf, recall)
+    level = classes.select("id", "label", "embedding").mapInArrow(project(trees, levels), "id long, label long, dim int, tree int, at array<float>")
+    level = level.select(F.xxhash64("tree", "label", "dim").alias("key"), "id", "dim", "at", F.lit(0).alias("tight"), F.lit(0).alias("spilled"))
+    gap = lambda i: F.struct(((F.col("q")[i + 1] - F.col("q")[i]) * F.least(i + 1.5, 18.5 - i)).alias("score"), ((F.col("q")[i] + F.col("q")[i + 1]) / 2).alias("cut"))
     leaves, spent = None, []
-    for depth in range(LEVELS):
+    for depth in range(levels):
         level = scratch.write(level, "level")
-        p = F.col("at")[depth]
-        nodes = scratch.write(level.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"), F.percentile_approx(p, 0.5, 1000).alias("cut")).where("n > 1"), "nodes")
+        p, of_pair = F.col("at")[depth], F.sqrt(F.lit(2 - 2 * threshold) / F.col("dim"))
+        nodes = level.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("tight").alias("before"), F.percentile_approx(p, QUANTILES, 1000).alias("q")).where("n > 1")
+        spread = (F.col("q")[18] - F.col("q")[0]) / 3.29  # of a normal distribution this is the standard deviation
+        nodes = nodes.withColumn("tight", F.when(spread <= of_pair * TIGHT, F.col("before") + 1).otherwise(0))
+        nodes = nodes.withColumn("cut", F.array_max(F.transform(F.sequence(F.lit(0), F.lit(17)), gap))["cut"])
+        nodes = scratch.write(nodes.select("key", "n", "tight", "cut"), "nodes")
         spent += [level, nodes]
-        ends = (F.col("n") <= leaf) | (F.col("n") >= F.col("parent") * STUCK) | F.lit(depth == LEVELS - 1)
-        here = level.join(nodes.where(ends).select("key", "n"), "key").select("key", "id", "n")
+        ends = (F.col("n") <= leaf) | (F.col("tight") >= STUCK) | F.lit(depth == levels - 1)
+        here = level.join(nodes.where(ends).select("key"), "key").select("key", "id")
         leaves = here if leaves is None else leaves.unionByName(here)
         rest = nodes.where(~ends)
         if not rest.limit(1).count():
             break
-        margin = F.sqrt(F.lit(2 - 2 * threshold) / F.col("dim")) * MARGIN
-        sides = F.array_compact(F.array(F.when(p <= F.col("cut") + margin, F.lit(0)), F.when(p >= F.col("cut") - margin, F.lit(1))))
-        split = level.drop("parent").join(rest.select("key", "n", "cut"), "key").withColumn("side", F.explode(sides))
-        level = split.select(F.xxhash64("key", "side").alias("key"), "id", "dim", "at", F.col("n").alias("parent"))
-    leaves = scratch.write(leaves, "leaves")
+        split = level.drop("tight").join(rest.select("key", "tight", "cut"), "key")
+        spills = (F.abs(p - F.col("cut")) <= of_pair * MARGIN) & (F.col("spilled") < SPILLS)
+        split = split.withColumn("both", spills).withColumn("side", F.explode(F.when(F.col("both"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((p > F.col("cut")).cast("int")))))
+        level = split.select(F.xxhash64("key", "side").alias("key"), "id", "dim", "at", "tight", (F.col("spilled") + F.col("both").cast("int")).alias("spilled"))
+    leaves = scratch.write(distinct_leaves(leaves), "leaves")
     for x in spent:
         scratch.drop(x)
-    lists = leaves.groupBy("id").agg(F.collect_set("key").alias("leaves"))  # as many as trees and spill make, not as rows
-    dealt = leaves.withColumn("blocks", F.when(F.col("n") <= leaf, 1).otherwise(F.ceil(F.col("n") / F.lit(leaf / 2.0)).cast("int"))).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    lists = leaves.groupBy("id").agg(F.collect_set("key").alias("leaves"))  # at most 2 to the power SPILLS for each tree
+    blocks = F.when(F.col("n") <= max(leaf, block), 1).otherwise(F.ceil(F.col("n") / F.lit(float(block))).cast("int"))
+    dealt = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "key", "block", "id")
     full = dealt.join(classes.select("id", "copies", "embedding").join(lists, "id"), "id")
