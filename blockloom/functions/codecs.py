@@ -128,11 +128,9 @@ def dxt3(width: int, height: int, data: bytes) -> np.ndarray:
 
 
 def from_words(words: np.ndarray, code: int) -> np.ndarray:
-    """RGBA of 16-bit pixels: 2 is 1-5-5-5, 4 is 4-4-4-4, 5 is 5-6-5; channels are shifted up, low bits left zero."""
+    """RGBA of 16-bit pixels: 4 is 4-4-4-4, 5 is 5-6-5; channels are shifted up, low bits left zero."""
     w = words.astype(np.uint32)
-    if code == 2:
-        parts = [(w >> 10 & 31) << 3, (w >> 5 & 31) << 3, (w & 31) << 3, (w >> 15) * 255]
-    elif code == 4:
+    if code == 4:
         parts = [(w >> 8 & 15) << 4, (w >> 4 & 15) << 4, (w & 15) << 4, (w >> 12) << 4]
     else:
         parts = [(w >> 11) << 3, (w >> 5 & 63) << 2, (w & 31) << 3, np.full_like(w, 255)]
@@ -140,19 +138,21 @@ def from_words(words: np.ndarray, code: int) -> np.ndarray:
 
 
 def xpr_pixels(data: bytes, most: int = 1024) -> np.ndarray:
-    """RGBA pixels of a packed texture resource: square, of a power of two up to most."""
-    if len(data) < 32 or data[:4] != b"XPR0":
+    """RGBA pixels of a packed resource of one texture: square, of a power of two up to most."""
+    if len(data) < 36 or data[:4] != b"XPR0":
         raise ValueError("no texture resource")
-    header, word = int.from_bytes(data[8:12], "little"), int.from_bytes(data[24:28], "little")
-    code, side = word >> 8 & 0xFF, 1 << (word >> 20 & 15)
-    if side > most or header > len(data):
+    size, header, flags, offset, unknown = struct.unpack_from("<IIIII", data, 4)
+    code, power, sides, end = data[25], data[27], *struct.unpack_from("<II", data, 28)
+    if flags & 0xFFFF != 1 or flags >> 16 & 7 != 4 or offset or unknown or sides or end != 0xFFFFFFFF:
+        raise ValueError("resource isn't one square texture")
+    if power > 31 or (side := 1 << power) > most or header > min(size, len(data)):
         raise ValueError("texture is too large or cut off")
-    body = data[header:]
+    body = data[header : min(size, len(data))]
     if code == 0x0C:
         return dxt1(side, side, body)
     if code == 0x0E:
         return dxt3(side, side, body)
-    if code in (2, 4, 5):
+    if code in (4, 5):
         return from_words(unswizzle(side, side, body, 2).copy().view("<u2")[..., 0], code)
     if code in (6, 7):
         bgra = unswizzle(side, side, body, 4)
@@ -160,6 +160,8 @@ def xpr_pixels(data: bytes, most: int = 1024) -> np.ndarray:
         if code == 7:
             out[..., 3] = 255
         return out
+    if code == 0x3C:
+        return unswizzle(side, side, body, 4)[..., ::-1].copy()
     raise ValueError(f"texture format {code} isn't known")
 
 

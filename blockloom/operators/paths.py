@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def url_path(url: Column) -> Column:
@@ -42,12 +43,29 @@ def children(paths: DataFrame, path: str, folder: Column) -> DataFrame:
     return below.select(F.col("_folder").alias("folder"), name.alias("name"), F.col("_rest").contains("/").alias("is_dir")).where("name <> ''").distinct()
 
 
-def looks_extracted(name: Column) -> Column:
-    """Aggregate over top-level names: an executable and no container."""
-    return ~F.bool_or(F.lower(name).rlike(r"\.(iso|cso|cci|zar)$")) & F.bool_or(F.lower(name).rlike(r"\.(xbe|xex)$"))
+def checked_listing(files: DataFrame, by: str, path: str) -> DataFrame:
+    """files with their normalised path and, where a path is empty, has an unsafe component or repeats another of its
+    group, a reason."""
+    n = F.col("normal")
+    seen = F.count(F.lit(1)).over(W.partitionBy(by, "normal"))
+    unsafe = F.exists(F.split(n, "/"), lambda c: ~safe_component(c))
+    reason = F.when(F.coalesce(F.length(path), F.lit(0)) == 0, "empty path").when(unsafe, "unsafe path").when(seen > 1, "repeated path")
+    return files.withColumn("normal", normalise(F.coalesce(F.col(path), F.lit("")))).withColumn("reason", reason)
+
+
+def looks_extracted(path: Column) -> Column:
+    """Aggregate over a folder's paths: of those at its top, one is an executable and none a container."""
+    top = ~path.contains("/")
+    return ~F.bool_or(top & F.lower(path).rlike(r"[^/]\.(iso|cso|cci|zar)$")) & F.bool_or(top & F.lower(path).rlike(r"[^/]\.(xbe|xex)$"))
 
 
 def looks_god(path: Column) -> Column:
     """Aggregate: some path of four components at most ends in Data… within a folder of extension .data."""
     p = F.lower(path)
-    return F.bool_or((F.size(F.split(p, "/")) <= 4) & p.rlike(r"(^|/)[^/]*\.data/data[^/]*$"))
+    return F.bool_or((F.size(F.split(p, "/")) <= 4) & p.rlike(r"(^|/)[^/]+\.data/data[^/]*$"))
+
+
+def detect_dir(paths: DataFrame, by: str, path: str) -> DataFrame:
+    """Each folder's format: god, else extracted, else null."""
+    kind = F.when(looks_god(F.col(path)), "god").when(looks_extracted(F.col(path)), "extracted")
+    return paths.groupBy(by).agg(kind.alias("format"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 
 def registered() -> tuple[dict, dict]:
-    for name in ("blocks", "layout", "paths", "entries", "scalars"):
+    for name in ("blocks", "layout", "paths", "entries", "scalars", "images"):
         import_module(f"blockloom.plans.{name}")
     from blockloom.plans.catalog import ORACLES, QUERIES
 

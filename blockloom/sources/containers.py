@@ -67,7 +67,8 @@ def image_of(parts: list[bytes]) -> bytes:
         return b"".join(s for p in parts for s in X.read_cci(p))
     if kind == "ciso":
         return b"".join(X.read_ciso(parts))
-    X.need(kind == "xiso", f"a {kind} holds no image")
+    if kind == "stfs" or kind == "zar":
+        raise ValueError(f"a {kind} holds files, not an image")
     return b"".join(parts)
 
 
@@ -138,6 +139,25 @@ def inspect(parts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return out.join(titles.select("title_id", F.col("name").alias("title")), "title_id", "left") if titles is not None else out
 
 
+def package_metadata(parts: DataFrame) -> DataFrame:
+    """Identifiers, thumbnails and special records of packages' headers."""
+    columns = "console_id binary, profile_id binary, online_creator binary, device_id binary, thumbnail binary, title_thumbnail binary, avatar_category long, avatar_colorizable long, avatar_guid binary, avatar_skeleton int, series_id binary, season_id binary, season_number int, episode_number int, installer string, installer_base_version long, installer_version long"
+    return parsed(parts, lambda names, data: [tuple(X.stfs_metadata(data[0]).values())], columns)
+
+
+def volume_files(parts: DataFrame) -> DataFrame:
+    """(source_id, path, size, content) of the files of images, whatever container holds them."""
+
+    def rows(names: list[str], data: list[bytes]) -> list[tuple]:
+        image = image_of(data)
+        v = X.read_volume(lambda at, n: image[at : at + n])
+        X.need(v is not None, "no volume at any known offset")
+        X.need(v.walked, v.reason)
+        return [(path, size, image[v.root_offset + sector * X.SECTOR :][:size]) for path, _, attributes, sector, size in v.entries if not attributes & 0x10]
+
+    return parsed(parts, rows, "path string, size long, content binary")
+
+
 def package_files(parts: DataFrame) -> DataFrame:
     """(source_id, path, size, content) of packages' files."""
     return parsed(parts, lambda names, data: X.stfs_files(data[0]), "path string, size long, content binary")

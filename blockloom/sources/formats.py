@@ -206,6 +206,7 @@ def walk(read: Callable[[int, int], bytes], base: int, root_sector: int, root_si
                 continue
             need(n > 0 and at + 14 + n <= size, "entry's name is cut off")
             name = from_windows_1252(data[at + 14 : at + 14 + n])
+            need("\0" not in name and "/" not in name, "entry's name isn't valid")
             path = f"{above}/{name}" if above else name
             out.append((path, name, attributes, start, length))
             if attributes & 0x10 and length and start not in seen:
@@ -403,6 +404,36 @@ def stfs_header(data: bytes) -> dict:
         "file_table_block": int.from_bytes(data[0x37E:0x381], "little"), "allocated_blocks": u32(0x395)}
 
 
+#: Kinds of installer records.
+INSTALLERS = {0: "none", 0x53555044: "systemUpdate", 0x54555044: "titleUpdate", 0x50245355: "systemUpdateProgress", 0x50245455: "titleUpdateProgress", 0x50245443: "titleContentProgress"}
+
+
+def stfs_metadata(data: bytes) -> dict:
+    """Identifiers, thumbnails and the records of avatar items, videos and installers of a package's header. A field that
+    isn't there or whose content isn't sound is None."""
+    need(len(data) >= 0x971A and data[:4] in (b"CON ", b"LIVE", b"PIRS"), "header is cut off or its magic unknown")
+    u32 = lambda at, order=">": struct.unpack_from(order + "I", data, at)[0]
+    most = 0x3D00 if u32(0x348) == 2 else 0x4000
+
+    def picture(size: int, at: int) -> bytes | None:
+        found = data[at : at + size] if 0 < size <= most else b""
+        return found if len(found) == size and found.startswith(b"\x89PNG\r\n\x1a\n") else None
+
+    first_table = u32(0x340) + pad_to(u32(0x340), BLOCK)
+    installer, versions = None, (None, None)
+    if first_table - 0x971A >= 0x15F4 and len(data) >= first_table:
+        installer = INSTALLERS.get(u32(0x971A))
+        if installer in ("systemUpdate", "titleUpdate"):
+            versions = u32(0x971E), u32(0x9722)
+    avatar = 1 <= data[0x3D9 + 24] <= 3
+    return {
+        "console_id": data[0x36C:0x371], "profile_id": data[0x371:0x379], "online_creator": data[0x3AD:0x3B5], "device_id": data[0x3FD:0x411],
+        "thumbnail": picture(u32(0x1712), 0x171A), "title_thumbnail": picture(u32(0x1716), 0x571A),
+        "avatar_category": u32(0x3D9, "<") if avatar else None, "avatar_colorizable": u32(0x3DD, "<") if avatar else None, "avatar_guid": data[0x3E1:0x3F1] if avatar else None, "avatar_skeleton": data[0x3F1] if avatar else None,
+        "series_id": data[0x3D9:0x3E9], "season_id": data[0x3E9:0x3F9], "season_number": int.from_bytes(data[0x3F9:0x3FB], "big"), "episode_number": int.from_bytes(data[0x3FB:0x3FD], "big"),
+        "installer": installer, "installer_base_version": versions[0], "installer_version": versions[1]}
+
+
 def stfs_entries(table: bytes) -> list[tuple]:
     """(index, name, parent, is_dir, contiguous, first block, size) from file-table blocks; empty slots keep their number."""
     out = []
@@ -608,8 +639,7 @@ def write_stfs(files: dict[str, bytes], title_id: int = 0, content_type: int = 1
     n_table = max(1, -(-len(rows) // 64))
     table, chains, at = bytearray(), [list(range(n_table))], n_table
     for label, parent, content in rows:
-        raw = label.encode()[:0x28]
-        need(len(raw) == len(label.encode()), "name is longer than a slot")
+        raw = label.encode()[:0x28]  # a slot holds no more of a name
         n = 0 if content is None else max(1, -(-len(content) // BLOCK))
         flags = 0x80 if content is None else 0x40
         count = n.to_bytes(3, "little")

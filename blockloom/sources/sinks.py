@@ -45,6 +45,11 @@ def to_archive(files: DataFrame) -> DataFrame:
     return assemble(files, "path", lambda s, g: named(s, [X.write_zar(dict(zip(g["path"], map(bytes, g["content"]))))], "zar"))
 
 
+def to_volume(files: DataFrame) -> DataFrame:
+    """Whole images of the files of each source; a folder must fit in a sector."""
+    return assemble(files, "path", lambda s, g: [(f"{s}.iso", len(p), p) for p in [X.write_volume(dict(zip(g["path"], map(bytes, g["content"]))))]])
+
+
 def without_updates(files: DataFrame, path: str = "path") -> DataFrame:
     """Files outside the system update's folder."""
     return files.where(~F.upper(F.regexp_replace(path, r"^[/\\]+", "")).startswith("$SYSTEMUPDATE"))

@@ -244,6 +244,26 @@ def test_package_round_trip(spark):
     assert [bytes(r.data) for r in back.orderBy("sector_no").collect()] == [bytes([i]) * 2048 for i in range(8)]
 
 
+def test_package_metadata(spark):
+    data = bytearray(formats.write_stfs({"x" * 50: b"one"}, 7, name="A name"))
+    assert formats.stfs_files(bytes(data))[0][0] == "x" * 40  # a slot's name is cut
+    assert formats.stfs_metadata(bytes(data))["thumbnail"] is None and formats.stfs_metadata(bytes(data))["avatar_skeleton"] is None
+    png = b"\x89PNG\r\n\x1a\n" + bytes(90)
+    data[0x36C:0x371], data[0x3D9:0x3F2] = b"12345", struct.pack("<II", 5, 6) + bytes(range(16)) + b"\2"
+    for size, at in ((0x1712, 0x171A), (0x1716, 0x571A)):
+        struct.pack_into(">I", data, size, len(png))
+        data[at : at + len(png)] = png
+    struct.pack_into(">III", data, 0x971A, 0x54555044, 0x10000100, 0x20000200)
+    m = formats.stfs_metadata(bytes(data))
+    assert (m["console_id"], m["thumbnail"], m["title_thumbnail"], m["avatar_category"], m["avatar_guid"], m["avatar_skeleton"]) == (b"12345", png, png, 5, bytes(range(16)), 2)
+    assert (m["installer"], m["installer_base_version"], m["installer_version"]) == ((None,) * 3 if 0xB000 - 0x971A < 0x15F4 else ("titleUpdate", 0x10000100, 0x20000200))
+    struct.pack_into(">I", data, 0x1712, 0x3D01)
+    data[0x571A] = 0
+    assert formats.stfs_metadata(bytes(data))["thumbnail"] is None and formats.stfs_metadata(bytes(data))["title_thumbnail"] is None
+    row = containers.package_metadata(parts_of(spark, [("p", "a", bytes(data)), ("q", "b", b"no")])).orderBy("source_id").collect()
+    assert (bytes(row[0].console_id), row[0].avatar_skeleton, row[1].status) == (b"12345", 2, "unresolved")
+
+
 @pytest.mark.parametrize("blocks", [169, 170, 171, 28_899, 28_900, 57_900])
 def test_package_of_more_than_one_hash_table(blocks):
     """All levels of tables: each block's and each table's digest is where the addresses say, up to the header's."""
@@ -269,10 +289,14 @@ def test_package_of_more_than_one_hash_table(blocks):
 
 def test_textures_and_sections():
     body = bytes(range(64))
-    head = lambda code, side: b"XPR0" + struct.pack("<II", 32 + 64, 32) + bytes(12) + struct.pack("<II", code << 8 | side << 20 | side << 24, 0)
-    for code, side, size in ((0x06, 2, 64), (0x07, 2, 64), (0x05, 2, 32), (0x02, 2, 32), (0x04, 2, 32), (0x0C, 2, 8), (0x0E, 2, 16)):
+    head = lambda code, side, flags=0x40001, size=36 + 64: b"XPR0" + struct.pack("<IIIII", size, 36, flags, 0, 0) + struct.pack("<BBBBII", 0, code, 0, side, 0, 0xFFFFFFFF)
+    for code, side, size in ((0x06, 2, 64), (0x07, 2, 64), (0x3C, 2, 64), (0x05, 2, 32), (0x04, 2, 32), (0x0C, 2, 8), (0x0E, 2, 16), (0x0C, 0, 8), (0x0C, 1, 8)):
         px = codecs.xpr_pixels(head(code, side) + body[:size])
-        assert px.shape == (4, 4, 4) and codecs.png(px)[:8] == b"\x89PNG\r\n\x1a\n"
+        assert px.shape == (1 << side, 1 << side, 4) and codecs.png(px)[:8] == b"\x89PNG\r\n\x1a\n"
+    assert codecs.xpr_pixels(head(0x3C, 2) + body)[0, 0].tolist() == [3, 2, 1, 0]
+    for bad in (head(0x07, 2, flags=0x40002) + body, head(0x07, 2, size=36 + 63) + body, head(0x07, 11) + body, head(0x02, 2) + body, head(0x07, 2)[:35]):
+        with pytest.raises(ValueError):
+            codecs.xpr_pixels(bad)
     assert codecs.xpr_pixels(head(0x07, 2) + body)[0, 0].tolist() == [2, 1, 0, 255]
     with pytest.raises(ValueError):
         codecs.xpr_pixels(head(0x33, 2) + body)
