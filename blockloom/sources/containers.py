@@ -139,6 +139,22 @@ def inspect(parts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return out.join(titles.select("title_id", F.col("name").alias("title")), "title_id", "left") if titles is not None else out
 
 
+def executables(parts: DataFrame) -> DataFrame:
+    """Layout of each source's executable: where its image begins and is loaded, encryption, compression, title."""
+    columns = "code_offset long, load_address long, encrypted boolean, compression string, runs array<struct<stored:long,zeros:long>>, window_size long, first_block_size long, title_id long"
+
+    def rows(names: list[str], data: list[bytes]) -> list[tuple]:
+        x = X.xex_layout(data[0])
+        runs = x["runs"] and [{"stored": a, "zeros": b} for a, b in x["runs"]]
+        return [tuple(v for k, v in (x | {"runs": runs}).items() if k != "resource_info")]
+
+    return parsed(parts, rows, columns)
+
+
+def executable_resources(parts: DataFrame) -> DataFrame:
+    return parsed(parts, lambda names, data: X.xex_resources(data[0]), "name string, address long, size long")
+
+
 def package_metadata(parts: DataFrame) -> DataFrame:
     """Identifiers, thumbnails and special records of packages' headers."""
     columns = "console_id binary, profile_id binary, online_creator binary, device_id binary, thumbnail binary, title_thumbnail binary, avatar_category long, avatar_colorizable long, avatar_guid binary, avatar_skeleton int, series_id binary, season_id binary, season_number int, episode_number int, installer string, installer_base_version long, installer_version long"

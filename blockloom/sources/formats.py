@@ -8,7 +8,7 @@ import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from blockloom.functions.codecs import from_windows_1252, lz4_block, lz4_unblock, to_windows_1252, unzstd, zstd
+from blockloom.functions.codecs import from_windows_1252, lz4_block, lz4_unblock, run_lengths, to_windows_1252, unzstd, zstd
 
 SECTOR = 2048
 VOLUME_MAGIC = b"MICROSOFT*XBOX*MEDIA"
@@ -466,6 +466,57 @@ def xex_execution(data: bytes) -> dict:
     return {"media_id": media, "version": version, "base_version": base, "title_id": title, "platform": platform, "executable_type": kind, "disc_number": number, "disc_count": count}
 
 
+def xex_layout(data: bytes) -> dict:
+    """Where an executable's image begins and is loaded, whether it is encrypted, how it is compressed (none, basic with its
+    runs, normal with its window and first block, or another kind's number), and its title."""
+    need(len(data) >= 24 and data[:4] == b"XEX2", "no executable header")
+    u32 = lambda at: struct.unpack_from(">I", data, at)[0] if at + 4 <= len(data) else None
+    code, security, n = u32(8), u32(16), min(u32(20), 4096)
+    need(24 + 8 * n <= len(data), "optional headers are cut off")
+    found = dict(struct.unpack_from(">II", data, 24 + 8 * i) for i in range(n))
+    load = found.get(0x10201, u32(security + 0x110) if security else None)
+    encrypted, kind, runs, window, first = False, "none", None, None, None
+    if (at := found.get(0x3FF)) is not None:
+        need(at + 8 <= len(data), "file format is cut off")
+        size, encryption, compression = struct.unpack_from(">IHH", data, at)
+        encrypted, room = encryption != 0, max(0, size - 8)
+        if compression == 1:
+            kind, runs = "basic", []
+            for lo in range(at + 8, at + 8 + room - 7, 8):
+                need(lo + 8 <= len(data), "runs are cut off")
+                run = struct.unpack_from(">II", data, lo)
+                if run == (0, 0):
+                    break
+                runs.append(run)
+        elif compression == 2:
+            need(room >= 8 and at + 16 <= len(data), "file format is cut off")
+            kind, (window, first) = "normal", struct.unpack_from(">II", data, at + 8)
+        elif compression:
+            kind = f"unknown {compression}"
+    title = u32(found[0x40006] + 12) if 0x40006 in found else None
+    return {"code_offset": code, "load_address": load, "encrypted": encrypted, "compression": kind, "runs": runs, "window_size": window, "first_block_size": first, "title_id": title, "resource_info": found.get(0x2FF)}
+
+
+def xex_resources(data: bytes, most: int = 65536) -> list[tuple[str, int, int]]:
+    """(name, address, size) of an executable's resources, of which the first so many are read."""
+    at = xex_layout(data)["resource_info"]
+    if at is None:
+        return []
+    need(at + 4 <= len(data), "resource table is cut off")
+    n = min(max(0, struct.unpack_from(">I", data, at)[0] - 4) // 16, most)
+    need(at + 4 + 16 * n <= len(data), "resource table is cut off")
+    rows = [struct.unpack_from(">8sII", data, at + 4 + 16 * i) for i in range(n)]
+    return [(name.rstrip(b"\0").decode("latin-1"), address, size) for name, address, size in rows]
+
+
+def xex_body(data: bytes, most: int = 1 << 30) -> bytes:
+    """The image of an executable that is neither encrypted nor compressed, or compressed by runs."""
+    x = xex_layout(data)
+    need(not x["encrypted"] and x["compression"] in ("none", "basic"), "image is encrypted or of another compression")
+    body = data[x["code_offset"] :]
+    return body if x["runs"] is None else run_lengths(body, x["runs"], most)
+
+
 def xdbf_find(data: bytes, entry: int, section: int, most: int = 65536) -> bytes | None:
     """A resource by identifier and section. Data begins behind the tables' capacities, not the used rows."""
     need(len(data) >= 24 and data[:4] == b"XDBF", "no resource header")
@@ -527,6 +578,41 @@ def read_god(parts: list[bytes], subs: int = PART_SUBS, blocks: int = SUB_BLOCKS
     return bytes(out)
 
 
+def live_header(fields: dict[int, bytes], size: int = 0xB000) -> bytes:
+    """An unsigned package header: fields by their place, and the digest of all from 0x344 on before it."""
+    head = bytearray(size)
+    head[:4] = b"LIVE"
+    for at, value in fields.items():
+        need(at + len(value) <= size, "field reaches past the header")
+        head[at : at + len(value)] = value
+    for at in (0x35B, 0x35F, 0x391):
+        if not any(lo <= at < lo + len(value) for lo, value in fields.items()):
+            head[at] = 0
+    head[0x32C:0x340] = hashlib.sha1(head[0x344:]).digest()
+    return bytes(head)
+
+
+def god_header(info: dict, content_type: int, parts: list[bytes], top: bytes, title: str = "", device_id: bytes = bytes(20)) -> bytes:
+    """The header of a hash-tree container: execution fields, block and part counts, the first master list's digest."""
+    u32 = lambda x: (x & 0xFFFFFFFF).to_bytes(4, "big")
+    blocks = sum((len(p) // BLOCK - 1) - -(-(len(p) // BLOCK - 1) // (SUB_BLOCKS + 1)) for p in parts)
+    name = title.encode("utf-16-be")[:254] + b"\0\0"
+    full = BLOCK * (1 + PART_SUBS * (SUB_BLOCKS + 1))
+    return live_header({
+        0x340: u32(0xAD0E), 0x344: u32(content_type), 0x348: u32(2), 0x354: u32(info["media_id"]), 0x360: u32(info["title_id"]),
+        0x364: bytes([info.get("platform", 0), info.get("executable_type", 0), info["disc_number"], info["disc_count"]]), 0x37D: top,
+        0x392: blocks.to_bytes(3, "big") + bytes(2), 0x3A0: len(parts).to_bytes(4, "little"), 0x3A4: u32((len(parts[-1]) + (len(parts) - 1) * full) // 0x100),
+        0x3FD: device_id, 0x411: name, 0x1691: name})
+
+
+def god_folder(image: bytes, info: dict, content_type: int, title: str = "") -> list[tuple[str, bytes]]:
+    """Names and bytes of a hash-tree container's files: its parts, and its header last."""
+    parts, top = write_god(image)
+    media = info["title_id"] if content_type == 0x5000 else info["media_id"]
+    stem = f"{info['title_id']:08X}/{content_type:08X}/{media:08X}"
+    return [(f"{stem}.data/Data{i:04d}", p) for i, p in enumerate(parts)] + [(stem, god_header(info, content_type, parts, top, title))]
+
+
 def verify_god(parts: list[bytes], blocks: int = SUB_BLOCKS) -> str:
     """Empty if all digests hold, else what doesn't."""
     for i, part in enumerate(parts):
@@ -655,17 +741,9 @@ def write_stfs(files: dict[str, bytes], title_id: int = 0, content_type: int = 1
     tables, top = stfs_tables(records)
     physical = {stfs_backing(i, 0): bytes(b) for i, b in enumerate(body)} | tables
     need(sorted(physical) == list(range(len(physical))), "tables and blocks don't fill the package")
-    head = bytearray(0xB000)
-    head[:4] = b"LIVE"
-    struct.pack_into(">III", head, 0x340, 0xAD0E, content_type, 2)
-    struct.pack_into(">I", head, 0x360, title_id)
-    head[0x379:0x37C] = bytes([0x24, 0, 1])
-    head[0x37C:0x381] = n_table.to_bytes(2, "little") + (0).to_bytes(3, "little")
-    head[0x381:0x395] = hashlib.sha1(top).digest()
-    struct.pack_into(">I", head, 0x395, at)
-    title = name.encode("utf-16-be")[:254]
-    head[0x411 : 0x411 + len(title)] = title
-    return bytes(head) + b"".join(physical[i] for i in range(len(physical)))
+    place = bytes([0x24, 0, 1]) + n_table.to_bytes(2, "little") + bytes(3) + hashlib.sha1(top).digest() + at.to_bytes(4, "big")
+    fields = {0x340: struct.pack(">III", 0xAD0E, content_type, 2), 0x360: title_id.to_bytes(4, "big"), 0x379: place, 0x411: name.encode("utf-16-be")[:254]}
+    return live_header(fields) + b"".join(physical[i] for i in range(len(physical)))
 
 
 def xbe_sections(data: bytes, most: int = 4096) -> dict[str, bytes]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.functions.titles import CODES
+from blockloom.operators.batch_scan import boot_info
+from blockloom.operators.blocks import split_blocks
+from blockloom.operators.scrub import scrub_plan, used_ranges
 from blockloom.sources import formats as X
 
 PARTS = "source_id string, name string, size long, content binary"
@@ -70,5 +74,56 @@ def to_hash_tree(sectors: DataFrame) -> DataFrame:
     return assemble(sectors, "sector_no", lambda s, g: [(f"Data{i:04d}", len(p), p) for i, p in enumerate(X.write_god(b"".join(g["data"]))[0])])
 
 
+def to_god(images: DataFrame) -> DataFrame:
+    """Folders of hash-tree parts and their header, from whole images (source_id, content) with a launch executable; media
+    and title come from it. An image without one is a row without content whose name is the reason."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for source, content in zip(group["source_id"], map(bytes, group["content"])):
+            try:
+                read = lambda at, n, c=content: c[at : at + n]
+                v = X.read_volume(read)
+                X.need(v is not None and v.walked, "no volume at any known offset")
+                info = boot_info(v, read)
+                kind = CODES["gamesOnDemand" if "platform" in info else "xboxOriginal"]
+                out += [(source, n, len(p), p) for n, p in X.god_folder(content[v.root_offset :], info, kind)]
+            except ValueError as e:
+                out.append((source, str(e), 0, None))
+        return pd.DataFrame(out, columns=["source_id", "name", "size", "content"])
+
+    return images.groupBy("source_id").applyInPandas(run, PARTS)
+
+
+def scrubbed(sectors: DataFrame, entries: DataFrame, images: DataFrame, mode: str) -> DataFrame:
+    """Sectors (image_id, sector_no, data), counted from the volume's root, that stay under a scrub plan of this mode, the
+    unused ones of ogx images as zeros where the plan says so. Images with a reason give no rows."""
+    plan = scrub_plan(entries, images, mode).where("reason IS NULL").select("image_id", "total_sectors", F.col("zero_sectors").isNotNull().alias("zeroing"))
+    kept = sectors.join(plan, "image_id").where("sector_no < total_sectors")
+    ranges = used_ranges(entries, images).withColumn("stretch", F.explode(F.sequence(F.expr("first div 64"), F.expr("last div 64"))))
+    used = kept.select("image_id", "sector_no", F.expr("sector_no div 64").alias("stretch")).join(ranges, ["image_id", "stretch"]).where("sector_no >= first AND sector_no <= last")
+    marked = kept.join(used.select("image_id", "sector_no").withColumn("used", F.lit(True)), ["image_id", "sector_no"], "left")
+    zeros = F.unhex(F.lit("00" * X.SECTOR))
+    return marked.select("image_id", "sector_no", F.when(F.col("zeroing") & F.col("used").isNull(), zeros).otherwise(F.col("data")).alias("data"))
+
+
+def chunks(parts: DataFrame, size: int = 64 * X.SECTOR) -> DataFrame:
+    """(source_id, name, chunk_no, data): finished parts in chunks of at most size bytes. An empty part has none."""
+    return split_blocks(parts.select("source_id", "name", "content"), "content", size, "chunk_no", "data")
+
+
+def stream(parts: DataFrame, size: int = 64 * X.SECTOR, progress: Callable[[int, int], None] | None = None) -> Iterator[tuple[str, str, bytes]]:
+    """Chunks in the order of source, name and place, one task's at a time on the caller's side; sizes are known first, and
+    progress is told how many bytes of how many were given."""
+    order = ["source_id", "name", "chunk_no"]
+    total, given = (parts.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0) if progress else 0, 0
+    for r in chunks(parts, size).orderBy(*order).toLocalIterator():
+        data = bytes(r["data"])
+        given += len(data)
+        yield r["source_id"], r["name"], data
+        if progress:
+            progress(given, total)
+
+
 def to_package(files: DataFrame) -> DataFrame:
     return assemble(files, "path", lambda s, g: [(f"{s}.pkg", len(p), p) for p in [X.write_stfs(dict(zip(g["path"], map(bytes, g["content"]))), name=s)]])

@@ -287,6 +287,63 @@ def test_package_of_more_than_one_hash_table(blocks):
     assert data[0x381:0x395] == sha((0, 171, 29_071)[level])
 
 
+def test_executable_layout(spark):
+    info = struct.pack(">I", 36) + b"41560001" + struct.pack(">II", 0x82000000, 77) + b"icon\0\0\0\0" + struct.pack(">II", 0x82000100, 5)
+    form = struct.pack(">IHH", 8 + 24, 0, 1) + struct.pack(">IIIIII", 3, 2, 2, 1, 0, 0)
+    fields = {0x2FF: info, 0x3FF: form, 0x40006: struct.pack(">IIII", 1, 2, 3, 0x41560001) + bytes(16)}
+    head, at, table = b"", 24 + 8 * (len(fields) + 1), b""
+    for k, v in fields.items():
+        table += struct.pack(">II", k, at + len(head))
+        head += v
+    table += struct.pack(">II", 0x10201, 0x82000000)
+    data = b"XEX2" + struct.pack(">IIIII", 0, at + len(head), 0, 0, 4) + table + head + b"abcde"
+    x = formats.xex_layout(data)
+    assert (x["compression"], x["runs"], x["encrypted"], x["load_address"], x["title_id"]) == ("basic", [(3, 2), (2, 1)], False, 0x82000000, 0x41560001)
+    assert formats.xex_resources(data) == [("41560001", 0x82000000, 77), ("icon", 0x82000100, 5)] and formats.xex_body(data) == b"abc\0\0de\0"
+    rows = containers.executables(parts_of(spark, [("a", "x", data), ("b", "x", data[:30])])).orderBy("source_id").collect()
+    assert (rows[0].compression, [tuple(r) for r in rows[0].runs], rows[1].status) == ("basic", [(3, 2), (2, 1)], "unresolved")
+    assert {r.name for r in containers.executable_resources(parts_of(spark, [("a", "x", data)])).collect()} == {"41560001", "icon"}
+
+
+def test_god_folder_and_header(spark):
+    import hashlib
+
+    source = image(3, {"default.xex": xex(0x4D530001, 2, 3)})
+    rows = sinks.to_god(spark.createDataFrame([("g", source), ("bare", formats.write_volume({"a": b"x"}))], "source_id string, content binary")).collect()
+    assert [r.name for r in rows if r.source_id == "bare"] == ["no executable found in this image"]
+    files = {r.name: bytes(r.content) for r in rows if r.source_id == "g"}
+    stem = "4D530001/00007000/00000001"
+    assert set(files) == {f"{stem}.data/Data0000", stem} and (head := files[stem])[:4] == b"LIVE"
+    assert hashlib.sha1(head[0x344:]).digest() == head[0x32C:0x340] and hashlib.sha1(files[f"{stem}.data/Data0000"][:4096]).digest() == head[0x37D:0x391]
+    assert (head[0x366], head[0x367], int.from_bytes(head[0x392:0x395], "big"), int.from_bytes(head[0x3A0:0x3A4], "little")) == (2, 3, -(-len(source) // 4096), 1)
+    assert [r["kind"] for r in batch_scan.resolve([(n, d) for n, d in files.items() if "Data" in n])] == ["godFolder"]
+
+
+def test_scrubbing_and_streams(spark):
+    data = {"ogx": image(1), "x360": formats.write_volume({"default.xex": xex(1, 1, 1), "z": b"z" * 9000}), "none": formats.write_volume({"a": b"x" * 5000})}
+    rows = [(k, f"{k}.iso", v + bytes(4096) + b"rest" * 512) for k, v in data.items()]
+    parts = parts_of(spark, rows)
+    found = containers.entries(parts).where("status = 'ok'").selectExpr("source_id AS image_id", "path", "attributes", "monotonically_increasing_id() AS position", "sector", "size")
+    images = spark.createDataFrame([(k, 33, 2048, 0, len(c)) for k, _, c in rows], "image_id string, root_sector int, root_size int, root_offset long, file_size long")
+    sectors = containers.sectors(parts).selectExpr("source_id AS image_id", "sector_no", "data")
+    for mode in ("trim", "zero", "partial"):
+        out = {}
+        for r in sorted(sinks.scrubbed(sectors, found, images, mode).collect(), key=lambda r: (r.image_id, r.sector_no)):
+            out[r.image_id] = out.get(r.image_id, b"") + bytes(r.data)
+        assert set(out) == {"ogx", "x360"}
+        for k, got in out.items():
+            whole = dict((n, c) for n, _, c in rows)[k]
+            want = whole if mode == "zero" else data[k]
+            assert len(got) == len(want)
+            blank = k == "ogx" and mode != "trim"
+            assert got == (bytes(32 * 2048) + data[k][32 * 2048 :] + bytes(len(want) - len(data[k])) if blank else want)
+    told = []
+    pieces = list(sinks.stream(parts, 5000, lambda done, total: told.append((done, total))))
+    for k, name, c in rows:
+        assert b"".join(d for s, n, d in pieces if (s, n) == (k, name)) == c
+    assert told[-1] == (sum(len(c) for _, _, c in rows),) * 2 and all(len(d) <= 5000 for _, _, d in pieces)
+
+
 def test_textures_and_sections():
     body = bytes(range(64))
     head = lambda code, side, flags=0x40001, size=36 + 64: b"XPR0" + struct.pack("<IIIII", size, 36, flags, 0, 0) + struct.pack("<BBBBII", 0, code, 0, side, 0, 0xFFFFFFFF)
