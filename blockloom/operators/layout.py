@@ -114,3 +114,27 @@ def stfs_backing_block(block: Column, shift: int) -> Column:
     first = quotient(block + 170, 170) * (1 << shift) + block
     second = first + quotient(block + 28900, 28900) * (1 << shift)
     return F.when(block < 170, first).when(block < 28900, second).otherwise(second + (1 << shift))
+
+
+def stfs_hash_block(block: Column, level: int, shift: int) -> Column:
+    """Backing block of the hash table of this level, from 0 to 2, that a logical block comes under."""
+    wide = 1 << shift
+    group, span = 170 + wide, 28900 + 171 * wide  # backing blocks from one table of a level to the next
+    if level == 0:
+        later = quotient(block, 170) * group + (quotient(block, 28900) + 1) * wide + F.when(block >= 28900, wide).otherwise(0)
+        return F.when(block < 170, F.lit(0).cast("long")).otherwise(later)
+    if level == 1:
+        return F.when(block < 28900, F.lit(group).cast("long")).otherwise(wide + quotient(block, 28900) * span)
+    return F.lit(span).cast("long")
+
+
+def stfs_walk(blocks: DataFrame, block: str, total: int) -> DataFrame:
+    """(kind, block, address) of all that a read-only package of so many blocks holds: its data blocks, and with the first
+    block of each group the group's hash table; tables of levels 1 and 2 are there from 171 and 28,901 blocks on."""
+    b, address = F.col(block), lambda level: stfs_hash_block(F.col(block), level, 0)
+    made = [F.struct(F.lit("data").alias("kind"), stfs_backing_block(b, 0).alias("address")), F.when(b % 170 == 0, F.struct(F.lit("level 0").alias("kind"), address(0).alias("address")))]
+    if total > 170:
+        made.append(F.when(b % 28900 == 0, F.struct(F.lit("level 1").alias("kind"), address(1).alias("address"))))
+    if total > 28900:
+        made.append(F.when(b == 0, F.struct(F.lit("level 2").alias("kind"), address(2).alias("address"))))
+    return blocks.select(b.alias("block"), F.explode(F.array_compact(F.array(*made))).alias("x")).select("x.kind", "block", "x.address")

@@ -102,6 +102,20 @@ def q_volume_round_trip(spark, sf_dir):
     return _digests(containers.volume_files(sinks.to_ciso(image, 40_000)))
 
 
+@query(f"""SELECT kind || '-' || source_id AS source_id, kind AS format, path, size, sha1 FROM ({_FILES}), (VALUES ('cci'), ('ciso'), ('god'), ('stfs'), ('xiso'), ('zar')) AS k(kind)""")
+def q_open_anything(spark, sf_dir):
+    """The same files in containers of every kind, all read by one reader that finds out what each is."""
+    files = _files(spark, sf_dir)
+    volumes = sinks.to_volume(files)
+    image = containers.sectors(volumes).select("source_id", "sector_no", "data")
+    made = {"cci": sinks.to_cci(image, 40_000), "ciso": sinks.to_ciso(image, 40_000), "god": sinks.to_hash_tree(image), "stfs": sinks.to_package(files), "xiso": volumes, "zar": sinks.to_archive(files)}
+    parts = None
+    for kind, df in made.items():
+        own = df.withColumn("source_id", F.concat(F.lit(f"{kind}-"), "source_id"))
+        parts = own if parts is None else parts.unionByName(own)
+    return containers.files(parts).select("source_id", "format", "path", "size", F.sha1("content").alias("sha1"))
+
+
 _TAKEN = """SELECT DISTINCT image_id, unnest(generate_series(sector, sector + (size - 1) // 2048)) AS s FROM (
   SELECT l_orderkey AS image_id, l_partkey AS sector, CAST(l_quantity AS BIGINT) * 100 AS size FROM lineitem UNION ALL
   SELECT o_orderkey, 33, 2048 FROM orders UNION ALL SELECT o_orderkey, 32, 2048 FROM orders) WHERE size > 0"""

@@ -137,24 +137,29 @@ def q_remap(spark, sf_dir):
     return s.select("sector", *[x.alias(k) for k, x in L.god_position(F.col("sector")).items()])
 
 
-@query("""SELECT block, shift, CAST(CASE WHEN block < 170 THEN a WHEN block < 28900 THEN a + ((block + 28900) // 28900) * f ELSE a + ((block + 28900) // 28900) * f + f END AS BIGINT) AS backing
-FROM (SELECT o_orderkey * 5 AS block, shift, CASE shift WHEN 0 THEN 1 ELSE 2 END AS f, ((o_orderkey * 5 + 170) // 170) * CASE shift WHEN 0 THEN 1 ELSE 2 END + o_orderkey * 5 AS a
-      FROM orders, (SELECT unnest([0, 1]) AS shift))""")
+@query("""SELECT block, shift, CAST(CASE WHEN block < 170 THEN a WHEN block < 28900 THEN a + ((block + 28900) // 28900) * f ELSE a + ((block + 28900) // 28900) * f + f END AS BIGINT) AS backing,
+CAST(CASE WHEN block < 170 THEN 0 WHEN block < 28900 THEN block // 170 * s + f ELSE block // 170 * s + (block // 28900 + 1) * f + f END AS BIGINT) AS hash_0,
+CAST(CASE WHEN block < 28900 THEN s ELSE f + block // 28900 * t END AS BIGINT) AS hash_1, CAST(t AS BIGINT) AS hash_2
+FROM (SELECT o_orderkey * 5 AS block, shift, f, s, t, ((o_orderkey * 5 + 170) // 170) * f + o_orderkey * 5 AS a
+      FROM orders, (VALUES (0, 1, 171, 29071), (1, 2, 172, 29242)) AS v(shift, f, s, t))""")
 def q_stfs_addr(spark, sf_dir):
     b = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 5).alias("block"))
-    both = [b.select("block", F.lit(s).alias("shift"), L.stfs_backing_block(F.col("block"), s).alias("backing")) for s in (0, 1)]
+    c = F.col("block")
+    both = [b.select("block", F.lit(s).alias("shift"), L.stfs_backing_block(c, s).alias("backing"), *[L.stfs_hash_block(c, k, s).alias(f"hash_{k}") for k in range(3)]) for s in (0, 1)]
     return both[0].unionByName(both[1])
 
 
-@query("""WITH d AS (SELECT o_orderkey AS n FROM orders), u AS (
-  SELECT 'data' AS kind, n, n + n // 170 + 1 AS address FROM d UNION ALL SELECT 'table', n // 170, (n // 170) * 171 FROM d WHERE n % 170 = 0)
-SELECT kind, CAST(n AS BIGINT) AS n, CAST(address AS BIGINT) AS address, row_number() OVER (ORDER BY address) AS step FROM u""")
+@query("""WITH n AS (SELECT count(*) AS total FROM lineitem), b AS (SELECT unnest(generate_series(0, (SELECT total FROM n) - 1)) AS block), u AS (
+  SELECT 'data' AS kind, block, block + block // 170 + 1 + CASE WHEN block < 170 THEN 0 ELSE block // 28900 + 1 + CASE WHEN block < 28900 THEN 0 ELSE 1 END END AS address FROM b
+  UNION ALL SELECT 'level 0', block, CASE WHEN block = 0 THEN 0 ELSE block // 170 * 171 + block // 28900 + 1 + CASE WHEN block < 28900 THEN 0 ELSE 1 END END FROM b WHERE block % 170 = 0
+  UNION ALL SELECT 'level 1', block, CASE WHEN block = 0 THEN 171 ELSE 1 + block // 28900 * 29071 END FROM b, n WHERE block % 28900 = 0 AND total > 170
+  UNION ALL SELECT 'level 2', block, 29071 FROM b, n WHERE block = 0 AND total > 28900)
+SELECT kind, CAST(block AS BIGINT) AS block, CAST(address AS BIGINT) AS address, row_number() OVER (ORDER BY address) - 1 AS step FROM u""")
 def q_interleave(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
-    data = d.select(F.lit("data").alias("kind"), "n", (F.col("n") + quotient(F.col("n"), 170) + 1).alias("address"))
-    tables = d.where("n % 170 = 0").select(F.lit("table").alias("kind"), quotient(F.col("n"), 170).alias("n"), (quotient(F.col("n"), 170) * 171).alias("address"))
-    walked = L.global_offset(data.unionByName(tables).withColumn("one", F.lit(1).cast("long")), "address", "one", "before")
-    return walked.select("kind", "n", "address", (F.col("before") + 1).alias("step"))
+    """The walk through a package of as many blocks as there are lines; without gaps, so each step is its own address."""
+    total = table(spark, sf_dir, "lineitem").count()
+    walked = L.stfs_walk(spark.range(total).withColumnRenamed("id", "block"), "block", total)
+    return L.global_offset(walked.withColumn("one", F.lit(1).cast("long")), "address", "one", "step").select("kind", "block", "address", "step")
 
 
 @query("SELECT name, CAST(count(*) AS BIGINT) AS chunks, CAST(sum(size) AS BIGINT) AS size FROM (SELECT coalesce(source, 'none') || '.bin' AS name, strlen(text) AS size FROM documents) GROUP BY name")

@@ -4,6 +4,7 @@ so many of them are read at once."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -72,6 +73,13 @@ def image_of(parts: list[bytes]) -> bytes:
     return b"".join(parts)
 
 
+def image_files(image: bytes) -> list[tuple]:
+    v = X.read_volume(lambda at, n: image[at : at + n])
+    X.need(v is not None, "no volume at any known offset")
+    X.need(v.walked, v.reason)
+    return [(path, size, image[v.root_offset + sector * X.SECTOR :][:size]) for path, _, attributes, sector, size in v.entries if not attributes & 0x10]
+
+
 def sectors(parts: DataFrame) -> DataFrame:
     """(source_id, sector_no, data) of image containers."""
     return parsed(parts, lambda names, data: [(i // X.SECTOR, image[i : i + X.SECTOR]) for image in [image_of(data)] for i in range(0, len(image), X.SECTOR)], "sector_no long, data binary")
@@ -113,6 +121,29 @@ def archive_files(parts: DataFrame) -> DataFrame:
     return parsed(parts, rows, "path string, size long, content binary")
 
 
+def files(parts: DataFrame) -> DataFrame:
+    """(source_id, format, path, size, content) of the files in each source, whatever container it is: archives and packages
+    are one part, hash-tree containers are known by their parts' names, of a header and parts the header isn't read, and all
+    others hold an image."""
+
+    def rows(names: list[str], data: list[bytes]) -> list[tuple]:
+        tree = [(n, d) for n, d in zip(names, data) if re.fullmatch(r"(.*/)?data[0-9]+", n, re.IGNORECASE)]
+        kind = X.detect(data[0][:4], data[0][-4:], len(data[0]))
+        if tree:
+            X.need(len(tree) >= len(data) - 1, "a hash-tree container has one header at most")
+            kind, image = "god", X.read_god([d for _, d in tree])
+        elif kind in ("zar", "stfs"):
+            X.need(len(data) == 1, f"a {kind} has one part")
+            if kind == "zar":
+                return [(kind, path, size, X.zar_read(data[0], start, size)) for path, start, size in X.zar_files(data[0])]
+            return [(kind, *f) for f in X.stfs_files(data[0])]
+        else:
+            image = image_of(data)
+        return [(kind, *f) for f in image_files(image)]
+
+    return parsed(parts, rows, "format string, path string, size long, content binary")
+
+
 def packages(parts: DataFrame) -> DataFrame:
     """Header fields of packages."""
     columns = "magic string, header_size long, content_type long, metadata_version long, media_id long, title_id long, disc_number int, disc_count int, display_name string, block_separation int, file_table_blocks int, file_table_block long, allocated_blocks long"
@@ -164,14 +195,7 @@ def package_metadata(parts: DataFrame) -> DataFrame:
 def volume_files(parts: DataFrame) -> DataFrame:
     """(source_id, path, size, content) of the files of images, whatever container holds them."""
 
-    def rows(names: list[str], data: list[bytes]) -> list[tuple]:
-        image = image_of(data)
-        v = X.read_volume(lambda at, n: image[at : at + n])
-        X.need(v is not None, "no volume at any known offset")
-        X.need(v.walked, v.reason)
-        return [(path, size, image[v.root_offset + sector * X.SECTOR :][:size]) for path, _, attributes, sector, size in v.entries if not attributes & 0x10]
-
-    return parsed(parts, rows, "path string, size long, content binary")
+    return parsed(parts, lambda names, data: image_files(image_of(data)), "path string, size long, content binary")
 
 
 def package_files(parts: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
+import importlib.util
 import random
+import sys
 from itertools import combinations, permutations
 
 import pytest
@@ -22,6 +24,18 @@ def test_query_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("gone", ["blockloom.llm", "corpus_pipeline", "xxhash"])
+def test_entry_without_text_operators(monkeypatch, gone):
+    """Whatever of the text operators can't be imported, the other queries are there."""
+    for name in [n for n in sys.modules if n.startswith(("blockloom.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, gone, None)
+    spec = importlib.util.spec_from_file_location("fresh_entry", entry.__file__)
+    fresh = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(fresh)
+    assert fresh.queries() == QUERIES and fresh.oracle_sql() == ORACLES
+
+
 def test_utf16_round_trip(spark, sf):
     rows = QUERIES["q_utf16"](spark, sf).collect()
     names = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
