@@ -145,9 +145,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros((FEATURES, 0), dtype=np.float32), np.zeros(0))
     idf = np.log((1 + sum(langs.values())) / (1 + df)) + 1
     languages, each = list(langs), max(1, sample // len(langs))
-    chance = F.lit(0.0)
-    for k, v in langs.items():
-        chance = F.when(F.col("lang") == k, F.lit(min(1.0, each / v))).otherwise(chance)
+    chances = F.create_map(*[F.lit(x) for k, v in langs.items() for x in (k, min(1.0, each / v))])
+    chance = F.coalesce(F.try_element_at(chances, F.col("lang")), F.lit(0.0))
     picked = known.where(F.pmod(F.xxhash64("seed", F.lit(SEED)), F.lit(1 << 20)) < chance * (1 << 20))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +159,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     out.append((seed.as_py(), lang.as_py(), at.astype(np.int32), (n / len(bins)).astype(np.float32)))
             yield pa.RecordBatch.from_pydict({"seed": pa.array([x[0] for x in out], pa.int64()), "lang": pa.array([x[1] for x in out], pa.string()), "bins": pa.array([x[2] for x in out], pa.list_(pa.int32())), "tf": pa.array([x[3] for x in out], pa.list_(pa.float32()))})
 
-    got = picked.mapInArrow(featurise, "seed long, lang string, bins array<int>, tf array<float>").limit(2 * sample).toPandas().sort_values(["seed", "lang"], ignore_index=True)
+    features = picked.mapInArrow(featurise, "seed long, lang string, bins array<int>, tf array<float>")
+    got = features.orderBy(F.xxhash64("seed", "lang"), F.xxhash64("bins", "tf")).limit(2 * sample).toPandas().sort_values(["seed", "lang"], ignore_index=True, kind="stable")
     x = [(np.asarray(at), np.asarray(tf, dtype=np.float64) * idf[np.asarray(at)]) for at, tf in zip(got["bins"], got["tf"])]
     y = got["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
     last = np.arange(len(x)) % 10 == 9
@@ -171,7 +171,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identify(spark: SparkSession, text: Column, model: Model) -> Column:
     """struct<lang, score> for each text."""
-    sent = spark.sparkContext.broadcast(model)  # bins by languages, of fixed size
+    sent = spark.sparkContext.broadcast(model)  # FEATURES weights of 4 bytes for each language that was learned
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import table
 
-#: Distinct pre-tokens that a worker remembers; beyond it the memory is emptied, which changes no count.
-REMEMBERED = 300_000
+#: Distinct pre-tokens that a worker remembers, and their characters at most; beyond it the memory is emptied, which changes no count.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
 LIMIT = 1024
 
 
@@ -56,7 +56,9 @@ class MergeCounter(dict):
             self.made.append(number(left + right))
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.count(word.encode())
+        n = self.count(word.encode())
+        if len(word) <= REMEMBERED_LENGTH:
+            self[word] = n
         return n
 
     def count(self, data: bytes) -> int:
