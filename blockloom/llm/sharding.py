@@ -92,5 +92,24 @@ def shard(docs: DataFrame, shards: int = SHARDS, turns: int = TURNS, doc_id: str
         F.when(stays, F.col("rank")).otherwise(gap_slot).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def with_shards(docs: DataFrame, shards: int = SHARDS, turns: int = TURNS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with all their columns, and shard, slot and copy (from 1, among rows of one id and text). Of these a
+    name that docs has gets underscores."""
+    names = {}
+    for n in ("shard", "slot", "copy"):
+        names[n] = n
+        while names[n].lower() in {c.lower() for c in docs.columns}:
+            names[n] += "_"
+    placed = shard(docs, shards, turns, doc_id, text).select("doc_id", "text_crc32", "shard", "slot")
+    placed = placed.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    body = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text_crc32"), row.alias("row"))
+    own = own.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "text_crc32").orderBy("text_crc32")))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_crc32") == F.col("b.text_crc32")) & (F.col("a.copy") == F.col("b.copy"))
+    both = own.alias("a").join(placed.alias("b"), same)
+    return both.select(*[F.col("a.row").getField(c).alias(c) for c in docs.columns], *[F.col(f"b.{n}").alias(names[n]) for n in names])
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
