@@ -2,7 +2,7 @@
 
 Each stage reads what the one before kept; all but the last return the columns of documents as they came. Empty tables
 pass through. Rows that repeat an id are kept or dropped together, except by the mixture, which emits rows as often as
-it takes them."""
+it takes them. The last stage returns all columns, and shard, slot and copy."""
 
 from __future__ import annotations
 
@@ -23,6 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each component at similarity 0.8 or more."""
     drop = near_dedup.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id").distinct()
+    drop = Scratch(spark, "drop").write(drop, "ids")  # of known size, so that few ids are broadcast and texts stay where they are
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -37,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each row its shard and slot."""
-    return sharding.shard(docs)
+    """Gives each row its shard, its slot there, and its number among copies of one id and text."""
+    return sharding.with_shards(docs)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
