@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def quotient(x: Column, by: int) -> Column:
@@ -49,3 +50,19 @@ def chain_digest(texts: Column, order: Column) -> Column:
     """Aggregate: from the last text to the first, each digest taken over the text and the digest of its successor."""
     parts = F.reverse(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), texts.alias("t")))), lambda x: x["t"]))
     return F.aggregate(parts, F.lit(""), lambda after, t: F.sha1(F.concat(t, after).cast("binary")))
+
+
+def rechunk(df: DataFrame, by: list[str], order: str, payload: str, size: int, number: str = "chunk_no", block: str = "block") -> DataFrame:
+    """Payloads of each group joined in order and cut anew into blocks of size: a running offset says which blocks each
+    payload reaches into, and a block is put together from its own few pieces, so no stream is gathered in a row. Null and
+    empty payloads add nothing; order must tell a group's rows apart."""
+    n = F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")
+    placed = df.select(*by, F.col(order).alias("_order"), F.col(payload).alias("_payload"), n.alias("_n"))
+    placed = placed.withColumn("_at", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))).where("_n > 0")
+    first, last = quotient(F.col("_at"), size), quotient(F.col("_at") + F.col("_n") - 1, size)
+    each = placed.withColumn(number, F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col(number) * size - F.col("_at"), F.lit(0).cast("long"))
+    hi = F.least((F.col(number) + 1) * size - F.col("_at"), F.col("_n"))
+    piece = F.substring(F.col("_payload"), (lo + 1).cast("int"), (hi - lo).cast("int"))
+    pieces = F.array_sort(F.collect_list(F.struct("_order", F.hex(piece).alias("x"))))
+    return each.groupBy(*by, number).agg(F.unhex(F.array_join(F.transform(pieces, lambda p: p["x"]), "")).alias(block))

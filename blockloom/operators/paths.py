@@ -43,6 +43,31 @@ def children(paths: DataFrame, path: str, folder: Column) -> DataFrame:
     return below.select(F.col("_folder").alias("folder"), name.alias("name"), F.col("_rest").contains("/").alias("is_dir")).where("name <> ''").distinct()
 
 
+def is_root_launch(path: Column) -> Column:
+    """A path at the root that ends in default.xbe, in any case."""
+    return ~path.contains("/") & F.lower(path).endswith("default.xbe")
+
+
+def named_pairs(files: DataFrame, by: str, name: str, extensions: list[str]) -> DataFrame:
+    """(by, first, second): files of a group named stem.1.ext and stem.2.ext, whatever their case. Of names that differ only
+    in case the least counts."""
+    parts = F.regexp_extract(F.lower(name), rf"^(.*)\.([12])\.({'|'.join(extensions)})$", 0)
+    stem, number = F.regexp_replace(parts, r"\.[12](\.[^.]*)$", "$1"), F.regexp_extract(parts, r"\.([12])\.[^.]*$", 1)
+    halves = files.where(parts != "").select(by, F.col(name).alias("name"), stem.alias("stem"), number.alias("n"))
+    pair = [F.min(F.when(F.col("n") == k, F.col("name"))).alias(c) for k, c in (("1", "first"), ("2", "second"))]
+    return halves.groupBy(by, "stem").agg(*pair).where("first IS NOT NULL AND second IS NOT NULL").drop("stem")
+
+
+def with_overrides(files: DataFrame, overrides: DataFrame, keys: list[str]) -> DataFrame:
+    """files (keys, content) with the content of overrides in its place, and a reason where its size isn't the same; one of
+    another size isn't taken."""
+    new = overrides.select(*keys, F.col("content").alias("_new"))
+    both = files.join(new, keys, "left")
+    fits = F.octet_length("_new") == F.octet_length("content")
+    wrong = F.col("_new").isNotNull() & ~F.coalesce(fits, F.lit(False))
+    return both.withColumn("reason", F.when(wrong, "override of another size")).withColumn("content", F.when(fits, F.col("_new")).otherwise(F.col("content"))).drop("_new")
+
+
 def checked_listing(files: DataFrame, by: str, path: str) -> DataFrame:
     """files with their normalised path and, where a path is empty, has an unsafe component or repeats another of its
     group, a reason."""

@@ -43,9 +43,8 @@ def q_back_chain(spark, sf_dir):
 SELECT conv_id, CAST(i AS INTEGER) AS chunk_no, sha1(from_hex(substr(h, i * 512 + 1, 512))) AS sha1
 FROM (SELECT conv_id, h, unnest(generate_series(0, (length(h) // 2 - 1) // 256)) AS i FROM c WHERE length(h) > 0)""")
 def q_concat_chunk(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
-    whole = c.select("conv_id", F.array_join(F.transform("turns", lambda x: x["text"]), "").cast("binary").alias("payload"))
-    return B.split_blocks(whole, "payload", 256, "chunk_no").select("conv_id", "chunk_no", F.sha1("block").alias("sha1"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("text"))
+    return B.rechunk(c, ["conv_id"], "turn", "text", 256).select("conv_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.sha1("block").alias("sha1"))
 
 
 @query("""SELECT doc_id, CAST((n + 511) // 512 AS BIGINT) AS blocks_512, CAST((n + 4095) // 4096 AS BIGINT) AS blocks_4096,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from blockloom.operators import paths as P
 from blockloom.operators.layout import islands
 from blockloom.plans.catalog import query, table
 
@@ -108,10 +109,13 @@ def q_group_rules(spark, sf_dir):
     return g.select("o_custkey", "title", "n", kind.alias("kind"))
 
 
-@query("""WITH f AS (SELECT p_partkey, lower(split_part(p_name, ' ', 2)) AS stem, p_type, p_partkey % 3 AS n FROM part),
-first AS (SELECT stem, p_type, min(p_partkey) AS p FROM f WHERE n = 1 GROUP BY ALL), second AS (SELECT stem, p_type, min(p_partkey) AS q FROM f WHERE n = 2 GROUP BY ALL)
-SELECT first.stem, first.p_type, p AS part_1, q AS part_2 FROM first JOIN second USING (stem, p_type)""")
+@query("""WITH f AS (SELECT p_brand, CASE WHEN p_partkey % 2 = 0 THEN upper(name) ELSE name END AS name FROM (
+  SELECT p_brand, p_partkey, split_part(p_name, ' ', 2) || p_size % 9 || CASE p_partkey % 4 WHEN 0 THEN '.1.cci' WHEN 1 THEN '.2.cci' WHEN 2 THEN '.1.cso' ELSE '.1' END AS name FROM part)),
+l AS (SELECT p_brand, lower(name) AS low, min(name) AS name FROM f GROUP BY ALL)
+SELECT a.p_brand, a.name AS first, b.name AS second FROM l a JOIN l b ON a.p_brand = b.p_brand AND right(a.low, 6) = '.1.cci' AND b.low = left(a.low, length(a.low) - 6) || '.2.cci'""")
 def q_named_pair(spark, sf_dir):
-    f = table(spark, sf_dir, "part").select("p_partkey", F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("stem"), "p_type", (F.col("p_partkey") % 3).alias("n"))
-    pair = [F.min(F.when(F.col("n") == k, F.col("p_partkey"))).alias(f"part_{k}") for k in (1, 2)]
-    return f.groupBy("stem", "p_type").agg(*pair).where("part_1 IS NOT NULL AND part_2 IS NOT NULL")
+    k = F.col("p_partkey")
+    ending = F.when(k % 4 == 0, ".1.cci").when(k % 4 == 1, ".2.cci").when(k % 4 == 2, ".1.cso").otherwise(".1")
+    name = F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), (F.col("p_size") % 9).cast("string"), ending)
+    files = table(spark, sf_dir, "part").select("p_brand", F.when(k % 2 == 0, F.upper(name)).otherwise(name).alias("name"))
+    return P.named_pairs(files, "p_brand", "name", ["cci", "cso", "ciso"])

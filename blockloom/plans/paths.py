@@ -106,7 +106,10 @@ def q_prefix_filter(spark, sf_dir):
     return _paths(spark, sf_dir).where(~F.upper(F.regexp_replace("path", r"^[/\\]+", "")).startswith("BLOG.")).select("page_id", "path")
 
 
-@query("SELECT p_partkey, p_name, p_brand, lower(p_name) LIKE '%ring' AND NOT contains(p_name, '/') AS launch FROM part WHERE lower(p_brand) = lower('BRAND#1') OR lower(p_name) = lower('RED Widget')")
+@query("""SELECT p_partkey, p_name, p_brand, p_partkey % 5 IN (0, 1, 4) AS launch FROM part WHERE lower(p_brand) = lower('BRAND#1') OR lower(p_name) = lower('RED Widget')""")
 def q_ci_lookup(spark, sf_dir):
+    """Rows found whatever their case, and whether a path made for each is the root's launch file."""
+    k = F.col("p_partkey") % 5
+    path = F.when(k == 0, "default.xbe").when(k == 1, "my Default.XBE").when(k == 2, "a/default.xbe").when(k == 3, "default.xex").otherwise("DEFAULT.xbe")
     p = table(spark, sf_dir, "part").where((F.lower("p_brand") == "brand#1") | (F.lower("p_name") == "red widget"))
-    return p.select("p_partkey", "p_name", "p_brand", (F.lower("p_name").endswith("ring") & ~F.col("p_name").contains("/")).alias("launch"))
+    return p.select("p_partkey", "p_name", "p_brand", P.is_root_launch(path).alias("launch"))

@@ -11,6 +11,7 @@ from blockloom.functions import bits as B
 from blockloom.functions import titles as TT
 from blockloom.operators import precedence as P
 from blockloom.operators.layout import global_offset
+from blockloom.operators.paths import with_overrides
 from blockloom.operators.search import order_groups, search_groups
 from blockloom.operators.trees import build_paths, number_level
 from blockloom.plans.catalog import query, table
@@ -148,14 +149,14 @@ def q_precedence(spark, sf_dir):
     )
 
 
-@query("""SELECT f.p_partkey, coalesce(o.bytes, f.bytes) AS bytes, o.bytes IS NOT NULL AND length(o.bytes) <> length(f.bytes) AS wrong_size
-FROM (SELECT p_partkey, p_name AS bytes FROM part) f LEFT JOIN (SELECT s_suppkey AS p_partkey, upper(p_name) || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '!' END AS bytes FROM supplier JOIN part ON p_partkey = s_suppkey) o USING (p_partkey)""")
+@query("""SELECT p_partkey, CASE WHEN s_suppkey IS NOT NULL AND s_suppkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS content, CASE WHEN s_suppkey % 2 = 1 THEN 'override of another size' END AS reason
+FROM part LEFT JOIN supplier ON s_suppkey = p_partkey""")
 def q_override(spark, sf_dir):
-    files = _part(spark, sf_dir).select("p_partkey", F.col("p_name").alias("bytes"))
-    over = table(spark, sf_dir, "supplier").join(files, F.col("p_partkey") == F.col("s_suppkey"))
-    over = over.select("p_partkey", F.concat(F.upper("bytes"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("!")).alias("own"))
-    wrong = F.col("own").isNotNull() & F.coalesce(F.length("own") != F.length("bytes"), F.lit(False))
-    return files.join(over, "p_partkey", "left").select("p_partkey", F.coalesce("own", "bytes").alias("bytes"), wrong.alias("wrong_size"))
+    """Part names as files; suppliers replace those of their number, every second one by a longer one, which isn't taken."""
+    files = _part(spark, sf_dir).select("p_partkey", F.col("p_name").cast("binary").alias("content"))
+    over = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey")).join(_part(spark, sf_dir), "p_partkey")
+    over = over.select("p_partkey", F.concat(F.upper("p_name"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("!")).cast("binary").alias("content"))
+    return with_overrides(files, over, ["p_partkey"]).select("p_partkey", F.col("content").cast("string").alias("content"), "reason")
 
 
 def _nodes(spark, sf_dir):

@@ -5,12 +5,16 @@ so many of them are read at once."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from blockloom.functions.patches import u32_le
 from blockloom.operators.paths import number_at_end
 from blockloom.sources import formats as X
 
@@ -37,8 +41,6 @@ def numbered(parts: DataFrame) -> DataFrame:
     """Part numbers from 0 within a source: by the number in the name (game.2.cci) or at its end, others last, then by name."""
     stem = F.regexp_replace("name", r"\.[A-Za-z]+$", "")
     order = F.struct(F.coalesce(number_at_end(stem), F.lit((1 << 63) - 1)), F.col("name"))
-    from pyspark.sql import Window as W
-
     return parts.withColumn("part_no", F.row_number().over(W.partitionBy("source_id").orderBy(order)) - 1)
 
 
@@ -80,9 +82,43 @@ def image_files(image: bytes) -> list[tuple]:
     return [(path, size, image[v.root_offset + sector * X.SECTOR :][:size]) for path, _, attributes, sector, size in v.entries if not attributes & 0x10]
 
 
+SECTORS = "source_id string, sector_no long, data binary, status string, reason string"
+
+
+def read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sectors of parts that stand alone, numbered from where each begins in its source, a few hundred at a time."""
+
+    def rows(source: str, start: int, kind: str, part: bytes) -> Iterator[tuple]:
+        try:
+            for i, s in enumerate(X.read_cci(part) if kind == "cci" else (part[lo : lo + X.SECTOR] for lo in range(0, len(part), X.SECTOR))):
+                yield source, start + i, s, "ok", None
+        except (ValueError, OSError) as e:
+            yield source, None, None, "unresolved", str(e)
+
+    kinds = (pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string())
+    for batch in batches:
+        for x in zip(*(batch.column(c) for c in ("source_id", "start", "format", "content"))):
+            it = rows(*(v.as_py() for v in x))
+            while some := list(islice(it, 512)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], ["source_id", "sector_no", "data", "status", "reason"])
+
+
 def sectors(parts: DataFrame) -> DataFrame:
-    """(source_id, sector_no, data) of image containers."""
-    return parsed(parts, lambda names, data: [(i // X.SECTOR, image[i : i + X.SECTOR]) for image in [image_of(data)] for i in range(0, len(image), X.SECTOR)], "sector_no long, data binary")
+    """(source_id, sector_no, data) of image containers. Parts that can be read without the others, of a source whose parts
+    all have their own index or are raw and of whole sectors, are read one by one in any task, their place being known from
+    their headers and sizes. Other sources are read whole."""
+    size = F.octet_length("content").cast("long")
+    held = u32_le(F.col("content"), F.lit(8)) + u32_le(F.col("content"), F.lit(12)) * (1 << 32)
+    heads = detect(parts).select("source_id", "name", "format", F.when(F.col("format") == "cci", held).otherwise(size).alias("bytes"))
+    in_source = W.partitionBy("source_id")
+    heads = numbered(heads).withColumn("start", F.coalesce(F.sum(F.expr(f"bytes div {X.SECTOR}")).over(in_source.orderBy("part_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    whole = F.coalesce(F.col("format").isin("cci", "xiso") & (F.col("bytes") % X.SECTOR == 0), F.lit(False))
+    same = (F.min("format").over(in_source) == F.max("format").over(in_source)) & (F.size(F.collect_set("name").over(in_source)) == F.count(F.lit(1)).over(in_source))
+    heads = heads.withColumn("alone", F.min(whole).over(in_source) & same).select("source_id", "name", "format", "start", "alone")
+    alone = parts.select("source_id", "name", "content").join(heads.where("alone"), ["source_id", "name"]).select("source_id", "start", "format", "content").mapInArrow(read_part, SECTORS)
+    rest = parts.join(heads.where("NOT coalesce(alone, false)").select("source_id").distinct(), "source_id", "left_semi")
+    cut = lambda image: [(i // X.SECTOR, image[i : i + X.SECTOR]) for i in range(0, len(image), X.SECTOR)]
+    return alone.unionByName(parsed(rest, lambda names, data: cut(image_of(data)), "sector_no long, data binary"))
 
 
 def index(parts: DataFrame) -> DataFrame:
@@ -151,8 +187,8 @@ def packages(parts: DataFrame) -> DataFrame:
 
 
 def inspect(parts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """One row a source: format, launch executable's identity, and its title's name if there is a title table. The root's
-    default.xex comes before its default.xbe."""
+    """One row a source: format, launch executable's identity and picture, and its title's name if there is a title table. The
+    root's default.xex comes before its default.xbe."""
 
     def rows(names: list[str], data: list[bytes]) -> list[tuple]:
         image = image_of(data)
@@ -163,10 +199,10 @@ def inspect(parts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
                 if path.lower() == wanted:
                     at = v.root_offset + sector * X.SECTOR
                     f = parse(image[at : at + size])
-                    return [(v.kind, wanted, f["title_id"], f["disc_number"], f.get("disc_count", 1), f["version"])]
-        return [(v.kind, None, 0, 1, 1, 0)]
+                    return [(v.kind, wanted, f["title_id"], f["disc_number"], f["disc_count"], f["version"], f["base_version"], X.thumbnail(image[at : at + size]))]
+        return [(v.kind, None, 0, 1, 1, 0, 0, None)]
 
-    out = parsed(parts, rows, "volume string, executable string, title_id long, disc_number int, disc_count int, version long")
+    out = parsed(parts, rows, "volume string, executable string, title_id long, disc_number int, disc_count int, version long, base_version long, thumbnail binary")
     return out.join(titles.select("title_id", F.col("name").alias("title")), "title_id", "left") if titles is not None else out
 
 

@@ -8,7 +8,7 @@ import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from blockloom.functions.codecs import from_windows_1252, lz4_block, lz4_unblock, run_lengths, to_windows_1252, unzstd, zstd
+from blockloom.functions.codecs import from_windows_1252, lz4_block, lz4_unblock, png, run_lengths, to_windows_1252, unzstd, xpr_pixels, zstd
 
 SECTOR = 2048
 VOLUME_MAGIC = b"MICROSOFT*XBOX*MEDIA"
@@ -44,6 +44,15 @@ def part_name(stem: str, index: int, total: int, ext: str) -> str:
     return f"{stem}.{ext}" if total <= 1 else f"{stem}.{index + 1}.{ext}"
 
 
+def cci_slot(sector: bytes) -> tuple[bytes, bool]:
+    """How a sector is stored: compressed, with the length of the padding before and the padding behind, or as it is."""
+    packed = lz4_block(sector)
+    if not 0 < len(packed) < SECTOR - 8:
+        return sector, False
+    pad = pad_to(len(packed) + 1, 4)
+    return bytes([pad]) + packed + bytes(pad), True
+
+
 def write_cci(image: bytes, cap: int = CCI_CAP) -> list[bytes]:
     """Parts of header, slots and index. A part is closed once its position is above cap."""
     need(len(image) % SECTOR == 0, "image isn't in whole sectors")
@@ -52,14 +61,7 @@ def write_cci(image: bytes, cap: int = CCI_CAP) -> list[bytes]:
     words: list[int] = []
     at = 32
     for lo in range(0, len(image), SECTOR):
-        sector = image[lo : lo + SECTOR]
-        packed = lz4_block(sector)
-        small = 0 < len(packed) < SECTOR - 8
-        if small:
-            pad = pad_to(len(packed) + 1, 4)
-            slot = bytes([pad]) + packed + bytes(pad)
-        else:
-            slot = sector
+        slot, small = cci_slot(image[lo : lo + SECTOR])
         if at > cap:
             parts.append((body, words))
             body, words, at = [], [], 32
@@ -517,6 +519,37 @@ def xex_body(data: bytes, most: int = 1 << 30) -> bytes:
     return body if x["runs"] is None else run_lengths(body, x["runs"], most)
 
 
+#: Where a launch executable keeps its title's picture.
+PICTURE_SECTIONS, PICTURE_ID, PICTURE_KIND = ("$$XTIMAGE", "$$XSIMAGE"), 0x8000, 2
+
+
+def thumbnail(data: bytes) -> bytes | None:
+    """An executable's picture as a PNG file, None without one that can be read. Of encrypted images none can."""
+    try:
+        if data[:4] == b"XBEH":
+            sections = xbe_sections(data)
+            for name in PICTURE_SECTIONS:
+                try:
+                    return png(xpr_pixels(sections[name]))
+                except (KeyError, ValueError):
+                    continue
+            return None
+        x, body = xex_layout(data), xex_body(data)
+        if body[:2] != b"MZ" or x["load_address"] is None:
+            return None
+        own = f"{x['title_id']:08X}" if x["title_id"] is not None else ""
+        for _, address, size in sorted(xex_resources(data), key=lambda r: r[0] != own):
+            at = address - x["load_address"]
+            try:
+                if at >= 0 and at + size <= len(body) and (found := xdbf_find(body[at : at + size], PICTURE_ID, PICTURE_KIND)):
+                    return found
+            except ValueError:
+                continue
+    except (ValueError, struct.error):
+        pass
+    return None
+
+
 def xdbf_find(data: bytes, entry: int, section: int, most: int = 65536) -> bytes | None:
     """A resource by identifier and section. Data begins behind the tables' capacities, not the used rows."""
     need(len(data) >= 24 and data[:4] == b"XDBF", "no resource header")

@@ -6,7 +6,7 @@ import pytest
 
 from blockloom.functions import codecs
 from blockloom.operators import batch_scan
-from blockloom.sources import containers, formats, sinks
+from blockloom.sources import containers, formats, sinks, streams
 from blockloom.streaming.early import watch
 
 
@@ -305,6 +305,31 @@ def test_executable_layout(spark):
     assert {r.name for r in containers.executable_resources(parts_of(spark, [("a", "x", data)])).collect()} == {"41560001", "icon"}
 
 
+def test_thumbnails_and_table_functions(spark):
+    from blockloom.sources import udtfs
+
+    texture = b"XPR0" + struct.pack("<IIIII", 100, 36, 0x40001, 0, 0) + struct.pack("<BBBBII", 0, 6, 0, 2, 0, 0xFFFFFFFF) + bytes(range(64))
+    exe = bytearray(xbe(size=0x800))
+    struct.pack_into("<II", exe, 0x11C, 2, 0x10000 + 0x400)
+    for i, (name, at, body) in enumerate([(b"$$XTIMAGE\0", 0x600, b"no texture"), (b"$$XSIMAGE\0", 0x640, texture)]):
+        struct.pack_into("<III", exe, 0x400 + 56 * i + 12, at, len(body), 0x10000 + 0x500 + 16 * i)
+        exe[0x500 + 16 * i : 0x500 + 16 * i + len(name)] = name
+        exe[at : at + len(body)] = body
+    assert formats.thumbnail(bytes(exe)) == codecs.png(codecs.xpr_pixels(texture)) and formats.thumbnail(xbe()) is None
+    xdbf = b"XDBF" + struct.pack(">IIIII", 1, 1, 1, 1, 0) + struct.pack(">HQII", 2, 0x8000, 0, 4) + bytes(8) + b"PNG!"
+    body = b"MZ" + bytes(14) + xdbf
+    info = struct.pack(">I", 20) + b"12345678" + struct.pack(">II", 0x1010, len(xdbf))
+    at = 24 + 16
+    head = b"XEX2" + struct.pack(">IIIII", 0, at + len(info), 0, 0, 2) + struct.pack(">IIII", 0x2FF, at, 0x10201, 0x1000) + info
+    assert formats.thumbnail(head + body) == b"PNG!" and formats.thumbnail(head + b"no" + body[2:]) is None and formats.thumbnail(b"XEX2") is None
+    udtfs.register(spark)
+    parts_of(spark, [("image", "a", IMAGE), ("zip", "b", formats.write_zar({"x/y": b"one"})), ("bad", "c", b"no"), ("null", "d", None)]).createOrReplaceTempView("boxes")
+    rows = spark.sql("SELECT source_id, e.* FROM boxes, LATERAL container_entries(content) e").collect()
+    assert {r.path for r in rows if r.source_id == "image"} >= {"default.xbe", "data/deep/b.txt"} and {r.source_id for r in rows if r.reason} == {"zip", "bad", "null"}
+    rows = spark.sql("SELECT source_id, e.* FROM boxes, LATERAL container_files(content) e").collect()
+    assert [(r.path, bytes(r.content)) for r in rows if r.source_id == "zip"] == [("x/y", b"one")] and sum(r.reason is not None for r in rows) == 3
+
+
 def test_god_folder_and_header(spark):
     import hashlib
 
@@ -344,6 +369,31 @@ def test_scrubbing_and_streams(spark):
     assert told[-1] == (sum(len(c) for _, _, c in rows),) * 2 and all(len(d) <= 5000 for _, _, d in pieces)
 
 
+@pytest.mark.parametrize("cap", [1 << 30, 9000, 4096, 100])
+def test_pieces_equal_whole_parts(spark, cap):
+    images = {"a": IMAGE, "b": bytes(2048), "c": random.Random(8).randbytes(2048 * 40)}
+    rows = [(k, i, v[i * 2048 :][:2048]) for k, v in images.items() for i in range(len(v) // 2048)]
+    got = {}
+    for r in sorted(streams.cci_pieces(spark.createDataFrame(rows, "source_id string, sector_no long, data binary").repartition(3), cap).collect(), key=lambda r: (r.name, r.piece_no)):
+        got[r.name] = got.get(r.name, b"") + bytes(r.data)
+    want = {}
+    for k, v in images.items():
+        parts = formats.write_cci(v, cap)
+        want |= {formats.part_name(k, i, len(parts), "cci"): p for i, p in enumerate(parts)}
+    assert got == want
+
+
+def test_parts_that_stand_alone(spark):
+    """Sectors keep their numbers over parts that are read apart; a source of parts that aren't whole sectors is read whole."""
+    cut = [IMAGE[:5000], IMAGE[5000:]]
+    rows = [("cci", f"g.{i + 1}.cci", p) for i, p in enumerate(formats.write_cci(IMAGE, 9000))] + [("ragged", f"g.{i}", p) for i, p in enumerate(cut)]
+    rows += [("raw", f"g.{i}", IMAGE[at : at + 4096]) for i, at in enumerate(range(0, len(IMAGE), 4096))] + [("twice", "same", IMAGE[:4096]), ("twice", "same", IMAGE[4096:])]
+    found = containers.sectors(parts_of(spark, rows).repartition(5)).collect()
+    for s in ("cci", "ragged", "raw"):
+        assert b"".join(bytes(r.data) for r in sorted((r for r in found if r.source_id == s), key=lambda r: r.sector_no)) == IMAGE
+    assert sum(r.source_id == "twice" for r in found) == len(IMAGE) // 2048
+
+
 def test_textures_and_sections():
     body = bytes(range(64))
     head = lambda code, side, flags=0x40001, size=36 + 64: b"XPR0" + struct.pack("<IIIII", size, 36, flags, 0, 0) + struct.pack("<BBBBII", 0, code, 0, side, 0, 0xFFFFFFFF)

@@ -79,6 +79,13 @@ def test_global_offset_is_partition_invariant(spark):
         assert {r.id: r.o for r in layout.global_offset(df.repartition(n), "id", "v", "o", 100).collect()} == want
 
 
+def test_rechunk(spark):
+    rows = [("a", 0, b"abc"), ("a", 1, b""), ("a", 2, None), ("a", 3, bytes(range(200))), ("a", 4, b"z"), ("b", 0, b"12345678"), ("c", 0, None)]
+    got = {(r.g, r.chunk_no): bytes(r.block) for r in blocks.rechunk(spark.createDataFrame(rows, "g string, k int, p binary"), ["g"], "k", "p", 8).collect()}
+    whole = {g: b"".join(p or b"" for x, _, p in rows if x == g) for g in "abc"}
+    assert got == {(g, i // 8): w[i : i + 8] for g, w in whole.items() for i in range(0, len(w), 8)}
+
+
 def test_build_paths_reports_cycles_and_orphans(spark):
     rows = [("a", None, "A"), ("b", "a", "B"), ("c", "b", "C"), ("x", "y", "X"), ("y", "x", "Y"), ("o", "gone", "O"), ("p", "o", "P")]
     got = {r.id: (r.path, r.reason) for r in trees.build_paths(spark.createDataFrame(rows, "id string, parent string, name string"), 8).collect()}
