@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys with more than so many a part of all rows are broadcast in joins: there can't be more than SHARE of them.
 SHARE = 10_000
+FEW_EDGES, FEW_TASKS = 250_000, 8
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -87,13 +88,17 @@ def frequent(counted: DataFrame, rows: int) -> DataFrame:
     return counted.where(F.col("n") > rows / SHARE)
 
 
+def with_counted(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined with a written table of one row a key, n of which is how many of rows hold it. Frequent keys are joined
+    where their rows are, so that no task gets all rows of a key."""
+    hot = frequent(counted, rows.count())
+    keys = F.broadcast(hot.select(*key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(counted.join(keys, key, "left_anti"), key))
+
+
 def recurring(scratch: Scratch, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of a written table whose key occurs more than once, and how often (n). Frequent keys are joined where their
-    rows are, so that no task gets all rows of a key."""
-    often = scratch.write(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    hot = frequent(often, rows.count())
-    rest = often.join(F.broadcast(hot.select(*key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key))
+    """Rows of a written table whose key occurs more than once, and how often (n)."""
+    return with_counted(rows, scratch.write(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often"), key)
 
 
 def number_rows(scratch: Scratch, df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -118,33 +123,41 @@ def number_rows(scratch: Scratch, df: DataFrame, order: list[str], name: str) ->
     return numbered.drop("_at")
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in edges (a, b).
 
-    Alternates large-star and small-star steps until the edges stand still; then each id has one edge, to its
-    component's smallest id. Steps join the edges with one row a vertex, so a vertex with many edges is a join that
-    can be split, and no vertex's neighbours are gathered."""
+    Alternates large-star and small-star steps until each id has one edge, to an id that has none but those. Steps join the
+    edges with one row a vertex, those of many edges by a broadcast, so no vertex's neighbours are gathered in a task. Of
+    at most FEW_EDGES edges, which are counted before each step, all vertices' rows are broadcast (8 MB at most) and the
+    step's stages have few tasks."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = scratch.write(e, "edges")
 
-    def state(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    seen, first = state(e), e
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    def state(x: DataFrame) -> tuple[int, int]:
+        """Edges, and ids that aren't settled yet."""
+        ends = x.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("x")).select("x.*")
+        each = fewer(ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")))
+        n, wrong = each.agg(F.sum("down"), F.sum(((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).cast("long"))).first()
+        return n or 0, wrong or 0
+
+    few = e.count() <= FEW_EDGES
+    fewer = lambda x: x.coalesce(FEW_TASKS) if few else x
+    n, open_ = state(e)
+    while open_:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        after = scratch.write(small, "edges")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        if few := n <= FEW_EDGES:
+            met = both.join(F.broadcast(fewer(low).select("a", "m")), "a")
+        else:
+            hubs = frequent(low, 2 * n).select("a", "m")
+            met = both.join(F.broadcast(hubs), "a").unionByName(both.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(low.select("a", "m"), "a"))
+        large = fewer(met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        down = fewer(large.groupBy("a").agg(F.min("b").alias("m")))
+        pairs = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(F.broadcast(down) if few else down, "a").select(F.explode(pairs).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+        after = scratch.write(fewer(small), "edges")
         scratch.drop(e)
-        now, e = state(after), after
-        if now == seen:
-            break
-        seen = now
+        (n, open_), e = state(after), after
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component")).distinct()
 

@@ -5,10 +5,10 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from blockloom.llm import decontamination, language, mixing
+from blockloom.llm import decontamination, language, mixing, sharding
 from tests.llm.fixtures import AWKWARD, documents, folder
 from tests.llm.test_native_and_counts import check_shards
-from tests.llm.test_pairs import closure, shingles
+from tests.llm.test_pairs import closure, least_edits, shingles
 
 
 @pytest.fixture(scope="module")
@@ -60,22 +60,32 @@ def test_no_item_stays(spark, sf, stages):
             held.add(r.doc_id)
     kept = {r.doc_id for r in after}
     assert held and not held & kept
-    found = decontamination.Matcher([(i, p) for i, p in enumerate(items)])
-    assert kept == {r.doc_id for r in before if not found.find(r.text)}
+    edits = {r.doc_id: min(least_edits(p, decontamination.normalise(r.text or "")) - len(p) // 20 for p in items) for r in before[::7]}
+    assert all((r.doc_id in kept) == (edits[r.doc_id] > 0) for r in before[::7])
 
 
 def test_mixture_emits_what_it_takes(stages):
     frames = stages[1]
-    want = {r.doc_id: r._copies for r in mixing.with_copies(frames[3]).collect()}
+    want = {r.doc_id: r.copies for r in mixing.with_copies(frames[3]).collect()}
     assert Counter(r.doc_id for r in stages[0][4]) == Counter({k: n for k, n in want.items() if n})
 
 
 def test_shards_hold_every_row(stages):
     mixed, sharded = stages[0][4:6]
-    assert Counter(r.doc_id for r in mixed) == Counter(r.doc_id for r in sharded)
+    assert Counter(mixed) == Counter(type(mixed[0])(*r[: len(mixed[0])]) for r in sharded) and stages[1][5].columns == [*stages[1][4].columns, "shard", "slot", "copy"]
+    assert len({(r.doc_id, r.text, r.copy) for r in sharded}) == len(sharded)
     check_shards(sharded)
 
 
+def test_shards_keep_awkward_rows(spark):
+    rows = [(None, "a", 1), (None, "a", 2), (None, None, 3), (7, "b", 4), (7, "b", 5), (7, "c", 6), (8, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, SLOT int")
+    out = sharding.with_shards(df)
+    assert out.columns == ["doc_id", "text", "SLOT", "shard", "slot_", "copy"]
+    assert sorted(r.SLOT for r in out.collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert sharding.with_shards(df.limit(0)).count() == 0
+
+
 def test_empty_documents_pass_through(spark, stages, tmp_path):
     empty = stages[1][0].limit(0)
     d = folder(tmp_path, documents=empty, benchmark=spark.createDataFrame([], "item_id long, text string"))
