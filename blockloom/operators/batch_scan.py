@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from blockloom.operators.search import FRAGMENTS, ORDERINGS, Budget, subsets_of_size
@@ -325,9 +326,34 @@ def check_completeness(parts: DataFrame) -> DataFrame:
     return _each(parts, run, names, "batch_id string, name string, is_complete boolean, root_offset long, max_used_prefix_size long, root_directory_table_offset long", ["name"])
 
 
+def known_early(parts: DataFrame) -> DataFrame:
+    """Resolutions that hang on one file alone: whole images of a single disc, and files that are no raw image. Each file is
+    looked at where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for batch_id, name, content in zip(*(batch.column(c) for c in ("batch_id", "name", "content"))):
+                if _tree_part.fullmatch(n := name.as_py()):
+                    continue
+                (r,) = resolve([(n, bytes(content.as_py()))])
+                other = r["kind"] == "unresolved" and not raw_image(content.as_py())
+                if other or (r["kind"] == "standalone" and r["disc_count"] <= 1):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch_id.as_py()], pa.string()), *[pa.array([r[c]], k) for c, k in (("kind", pa.string()), ("names", pa.list_(pa.string())), ("title_id", pa.string()), ("disc_count", pa.int32()), ("reason", pa.string()))]], ["batch_id", "kind", "names", "title_id", "disc_count", "reason"])
+
+    return parts.select("batch_id", "name", "content").mapInArrow(run, "batch_id string, kind string, names array<string>, title_id string, disc_count int, reason string")
+
+
+def raw_image(data: bytes) -> bool:
+    try:
+        return X.detect(data[:4], data[-4:], len(data)) == "xiso"
+    except ValueError:
+        return False
+
+
 def reported_once(resolutions: DataFrame, reported: DataFrame) -> DataFrame:
-    """Resolutions less those standalone images that were handed on before: reported has (batch_id, name)."""
-    early = resolutions.where("kind = 'standalone'").selectExpr("batch_id", "names", "names[0] AS name").join(reported, ["batch_id", "name"], "left_semi").select("batch_id", "names")
+    """Resolutions less those of one file that were handed on before: reported has (batch_id, name)."""
+    alone = resolutions.where("kind IN ('standalone', 'unresolved') AND size(names) = 1")
+    early = alone.selectExpr("batch_id", "names", "names[0] AS name").join(reported, ["batch_id", "name"], "left_semi").select("batch_id", "names")
     return resolutions.join(early, ["batch_id", "names"], "left_anti")
 
 

@@ -125,6 +125,13 @@ def test_batch_scan(spark, tmp_path):
     seen, errors = [], []
     watch(spark, str(tmp_path / "in"), str(tmp_path / "ck"), lambda rows, n: seen.extend(rows.collect()), errors).awaitTermination(120)
     assert len(seen) == len(got) and not errors
+    first, rest = [], []
+    watch(spark, str(tmp_path / "in"), str(tmp_path / "ck2"), lambda rows, n: rest.extend(rows.collect()), errors, lambda rows, n: first.extend(rows.collect())).awaitTermination(120)
+    assert {(r.kind, *r.names) for r in first} == {("standalone", "solo"), ("unresolved", "cci"), ("unresolved", "no")}
+    assert len(first) + len(rest) == len(got) and not errors and not {n for r in rest for n in r.names} & {"solo", "cci", "no"}
+    failing, told = [], []
+    watch(spark, str(tmp_path / "in"), str(tmp_path / "ck3"), lambda rows, n: told.append(rows.count()), failing, lambda rows, n: 1 / 0).awaitTermination(120)
+    assert len(failing) == 1 and told == [len(rest)]
 
 
 def test_parts_close_above_the_cap():
