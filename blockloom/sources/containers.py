@@ -38,8 +38,9 @@ def detect(parts: DataFrame) -> DataFrame:
 
 
 def numbered(parts: DataFrame) -> DataFrame:
-    """Part numbers from 0 within a source: by the number in the name (game.2.cci) or at its end, others last, then by name."""
-    stem = F.regexp_replace("name", r"\.[A-Za-z]+$", "")
+    """Part numbers from 0 within a source: by the number in the name, before all of its extensions (game.2.cci,
+    game.10.xiso.iso), or at its end, others last, then by name."""
+    stem = F.regexp_replace("name", r"(\.[A-Za-z]+)+$", "")
     order = F.struct(F.coalesce(number_at_end(stem), F.lit((1 << 63) - 1)), F.col("name"))
     return parts.withColumn("part_no", F.row_number().over(W.partitionBy("source_id").orderBy(order)) - 1)
 

@@ -401,6 +401,16 @@ def test_parts_that_stand_alone(spark):
     assert sum(r.source_id == "twice" for r in found) == len(IMAGE) // 2048
 
 
+def test_raw_parts_beyond_nine_keep_their_order(spark):
+    """Names of raw parts end in two extensions; the number before both orders them, not the name."""
+    data = random.Random(8).randbytes(25 * 2048)
+    cut = spark.createDataFrame([("r", i, data[i * 2048 : (i + 1) * 2048]) for i in range(25)], "source_id string, sector_no long, data binary")
+    for cap in (2048, 3000):
+        parts = sinks.to_raw(cut, cap)
+        assert {r.name for r in parts.collect()} >= {f"r.{i}.xiso.iso" for i in range(1, 18)}
+        assert [bytes(r.data) for r in containers.sectors(parts).orderBy("sector_no").collect()] == [data[i : i + 2048] for i in range(0, len(data), 2048)]
+
+
 def test_textures_and_sections():
     body = bytes(range(64))
     head = lambda code, side, flags=0x40001, size=36 + 64: b"XPR0" + struct.pack("<IIIII", size, 36, flags, 0, 0) + struct.pack("<BBBBII", 0, code, 0, side, 0, 0xFFFFFFFF)
