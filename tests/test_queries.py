@@ -1,12 +1,13 @@
 import importlib.util
 import random
 import sys
-from itertools import combinations, permutations
+from itertools import combinations, islice, permutations
+from math import factorial
 
 import pytest
 
 import __spark_entry__ as entry
-from blockloom.operators.search import search_groups
+from blockloom.operators.search import order_groups, search_groups
 from blockloom.plans import registered
 from tests.compare import same
 
@@ -53,6 +54,25 @@ def test_orderings_equal_brute_force(spark, tmp_path):
     assert len(cut) == 4000 and not any(r.complete for r in cut) and all(r.position is None for r in cut if r.l_orderkey == 70)
 
 
+def test_orderings_are_joined_and_equal_brute_force(spark, tmp_path):
+    """Rows are made by a join, not one by one in Python, whatever the number of items; long groups and values beyond the table's are exact too."""
+    rng = random.Random(4)
+    groups = {n: [rng.randint(-50, 50) for _ in range(n)] for n in (*range(13), 29, 30, 31, 40)}
+    groups |= {100: [1 << 30] * 30, 101: [(1 << 30) + 1, -5, 7], 102: [-(1 << 30)] * 9, 103: [1 << 62, 1 << 61], 104: [1 << 62, -(1 << 62), (1 << 61) - 1], 105: [3, None, 4], 106: [5] * 62, 107: [-1] + [0] * 63}
+    df = spark.createDataFrame(list(groups.items()), "g long, q array<long>")
+    for most in (0, 1, 2, 7, 2000, 2001):
+        got = sorted(map(tuple, order_groups(df, "g", "q", most).collect()), key=repr)
+        want = []
+        for g, s in groups.items():
+            for p in islice(permutations(range(len(s))), most):
+                x = None if None in s else sum(s[i] << len(s) - 1 - j for j, i in enumerate(p))
+                want.append((g, "-".join(str(i + 1) for i in p), x if x is not None and -(1 << 63) < x < 1 << 63 else None, factorial(len(s)) <= most))
+        assert got == sorted(want, key=repr), most
+    spark.createDataFrame([(o, i, 1, 1, 1.0, 2.0) for o in range(9) for i in range(o + 1)], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = QUERIES["q_orderings"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.index("BroadcastHashJoin") < plan.index("MapInArrow") and plan.count("collect_list") == 2  # partial and final
+
+
 def test_every_block_and_boundary_is_looked_up(spark, tmp_path):
     texts = ["", "a", "b" * 4096, "c" * 4097, "d" * 30_000, "", "e" * 2048, "f" * 5]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
