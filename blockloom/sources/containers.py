@@ -6,17 +6,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import islice
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from blockloom.functions.patches import u32_le
 from blockloom.operators.paths import number_at_end
 from blockloom.sources import formats as X
+from blockloom.sources.batches import batched, by_key, schema_of
 
 
 def read_parts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -37,31 +36,40 @@ def detect(parts: DataFrame) -> DataFrame:
     return parts.withColumn("format", kind).withColumn("reason", F.when(size < 4, "file is shorter than a magic number"))
 
 
-def numbered(parts: DataFrame) -> DataFrame:
-    """Part numbers from 0 within a source: by the number in the name, before all of its extensions (game.2.cci,
+def part_order() -> Column:
+    """The order of parts within a source: by the number in the name, before all of its extensions (game.2.cci,
     game.10.xiso.iso), or at its end, others last, then by name."""
     stem = F.regexp_replace("name", r"(\.[A-Za-z]+)+$", "")
-    order = F.struct(F.coalesce(number_at_end(stem), F.lit((1 << 63) - 1)), F.col("name"))
-    return parts.withColumn("part_no", F.row_number().over(W.partitionBy("source_id").orderBy(order)) - 1)
+    return F.struct(F.coalesce(number_at_end(stem), F.lit((1 << 63) - 1)), F.col("name"))
+
+
+def numbered(parts: DataFrame) -> DataFrame:
+    """Part numbers from 0 within a source."""
+    return parts.withColumn("part_no", F.row_number().over(W.partitionBy("source_id").orderBy(part_order())) - 1)
 
 
 def parsed(parts: DataFrame, rows: Callable[[list[str], list[bytes]], list[tuple]], columns: str) -> DataFrame:
-    """Runs a parser over each source's ordered parts; columns are those of its rows, with status and reason after them."""
-    names = [c.split()[0] for c in columns.split(", ")]
+    """Runs a parser over each source's ordered parts; columns are those of its rows, with status and reason after them. Many
+    sources go through a task in one stream."""
+    columns = f"source_id string, {columns}, status string, reason string"
+    schema = schema_of(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for source, group in by_key(batches, "source_id"):
+                none = [None] * (len(schema) - 3)
+                try:
+                    found = rows(group["name"], [bytes(c) for c in group["content"]])
+                    yield from [(source, *r, "ok", None) for r in found]
+                except (ValueError, IndexError, OverflowError, OSError) as e:
+                    yield source, *none, "unresolved", str(e)
+                except Exception as e:  # a codec's own error type
+                    yield source, *none, "unresolved", f"{type(e).__name__}: {e}"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part_no")
-        try:
-            out = [(*r, "ok", None) for r in rows(group["name"].tolist(), [bytes(c) for c in group["content"]])]
-        except (ValueError, IndexError, OverflowError, OSError) as e:
-            out = [(*[None] * len(names), "unresolved", str(e))]
-        except Exception as e:  # a codec's own error type
-            out = [(*[None] * len(names), "unresolved", f"{type(e).__name__}: {e}")]
-        frame = pd.DataFrame(out, columns=[*names, "status", "reason"], dtype=object)
-        frame.insert(0, "source_id", group["source_id"].iloc[0])
-        return frame
+        yield from batched(out(), schema)
 
-    return numbered(parts).groupBy("source_id").applyInPandas(run, f"source_id string, {columns}, status string, reason string")
+    dealt = parts.select("source_id", "name", "content").repartition("source_id")
+    return dealt.sortWithinPartitions("source_id", part_order()).mapInArrow(run, columns)
 
 
 def image_of(parts: list[bytes]) -> bytes:
@@ -87,39 +95,42 @@ SECTORS = "source_id string, sector_no long, data binary, status string, reason
 
 
 def read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sectors of parts that stand alone, numbered from where each begins in its source, a few hundred at a time."""
-
-    def rows(source: str, start: int, kind: str, part: bytes) -> Iterator[tuple]:
-        try:
-            for i, s in enumerate(X.read_cci(part) if kind == "cci" else (part[lo : lo + X.SECTOR] for lo in range(0, len(part), X.SECTOR))):
-                yield source, start + i, s, "ok", None
-        except (ValueError, OSError) as e:
-            yield source, None, None, "unresolved", str(e)
+    """Sectors of parts that stand alone, numbered from where each begins in its source; batches go on over parts."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for x in zip(*(batch.column(c) for c in ("source_id", "start", "format", "content"))):
+                source, start, kind, part = (v.as_py() for v in x)
+                try:
+                    for i, s in enumerate(X.read_cci(part) if kind == "cci" else (part[lo : lo + X.SECTOR] for lo in range(0, len(part), X.SECTOR))):
+                        yield source, start + i, s, "ok", None
+                except (ValueError, OSError) as e:
+                    yield source, None, None, "unresolved", str(e)
 
     kinds = (pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string())
-    for batch in batches:
-        for x in zip(*(batch.column(c) for c in ("source_id", "start", "format", "content"))):
-            it = rows(*(v.as_py() for v in x))
-            while some := list(islice(it, 512)):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], ["source_id", "sector_no", "data", "status", "reason"])
+    yield from batched(rows(), pa.schema(list(zip(("source_id", "sector_no", "data", "status", "reason"), kinds))))
 
 
 def sectors(parts: DataFrame) -> DataFrame:
     """(source_id, sector_no, data) of image containers. Parts that can be read without the others, of a source whose parts
     all have their own index or are raw and of whole sectors, are read one by one in any task, their place being known from
-    their headers and sizes. Other sources are read whole."""
+    their headers and sizes. Other sources are read whole. Parts are made once: what looks at their headers and both ways of
+    reading take them from one exchange. Its two columns are all needed by each, and its key is a struct, which is never null, so
+    neither a column left out nor a filter makes the plans below it differ."""
     size = F.octet_length("content").cast("long")
     held = u32_le(F.col("content"), F.lit(8)) + u32_le(F.col("content"), F.lit(12)) * (1 << 32)
-    heads = detect(parts).select("source_id", "name", "format", F.when(F.col("format") == "cci", held).otherwise(size).alias("bytes"))
+    dealt = parts.select(F.struct("source_id", "name").alias("_part"), "content").repartition("_part")
+    heads = detect(dealt).select("_part", "_part.*", "format", F.when(F.col("format") == "cci", held).otherwise(size).alias("bytes"))
     in_source = W.partitionBy("source_id")
     heads = numbered(heads).withColumn("start", F.coalesce(F.sum(F.expr(f"bytes div {X.SECTOR}")).over(in_source.orderBy("part_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     whole = F.coalesce(F.col("format").isin("cci", "xiso") & (F.col("bytes") % X.SECTOR == 0), F.lit(False))
     same = (F.min("format").over(in_source) == F.max("format").over(in_source)) & (F.size(F.collect_set("name").over(in_source)) == F.count(F.lit(1)).over(in_source))
-    heads = heads.withColumn("alone", F.min(whole).over(in_source) & same).select("source_id", "name", "format", "start", "alone")
-    alone = parts.select("source_id", "name", "content").join(heads.where("alone"), ["source_id", "name"]).select("source_id", "start", "format", "content").mapInArrow(read_part, SECTORS)
-    rest = parts.join(heads.where("NOT coalesce(alone, false)").select("source_id").distinct(), "source_id", "left_semi")
+    heads = heads.withColumn("alone", F.coalesce(F.min(whole).over(in_source) & same, F.lit(False)))
+    place = heads.groupBy("_part").agg(F.min(F.struct("alone", "start", "format")).alias("at"))
+    placed = dealt.join(place, "_part")
+    alone = placed.where("at.alone").select("_part.source_id", "at.start", "at.format", "content").mapInArrow(read_part, SECTORS)
     cut = lambda image: [(i // X.SECTOR, image[i : i + X.SECTOR]) for i in range(0, len(image), X.SECTOR)]
-    return alone.unionByName(parsed(rest, lambda names, data: cut(image_of(data)), "sector_no long, data binary"))
+    return alone.unionByName(parsed(placed.where("NOT at.alone").select("_part.*", "content"), lambda names, data: cut(image_of(data)), "sector_no long, data binary"))
 
 
 def index(parts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from blockloom.operators.batch_scan import boot_info
 from blockloom.operators.blocks import split_blocks
 from blockloom.operators.scrub import scrub_plan, used_ranges
 from blockloom.sources import formats as X
+from blockloom.sources.batches import batched, by_key, schema_of
 
 PARTS = "source_id string, name string, size long, content binary"
 
@@ -21,37 +23,39 @@ def named(stem: str, parts: list[bytes], ext: str) -> list[tuple]:
     return [(X.part_name(stem, i, len(parts), ext), len(p), p) for i, p in enumerate(parts)]
 
 
-def assemble(rows: DataFrame, order: str, make: Callable[[str, pd.DataFrame], list[tuple]]) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        source = group["source_id"].iloc[0]
-        out = pd.DataFrame(make(source, group.sort_values(order)), columns=["name", "size", "content"])
-        out.insert(0, "source_id", source)
-        return out
+def assemble(rows: DataFrame, order: str, payload: str, make: Callable[[str, dict[str, list]], list[tuple]]) -> DataFrame:
+    """Parts made of each source's ordered rows. Sources are dealt and sorted, and a task goes through many of them in a stream:
+    a call and a data frame for each would cost far more than a small source's bytes."""
+    schema = schema_of(PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(((s, *part) for s, g in by_key(batches, "source_id") for part in make(s, g)), schema)
 
-    return rows.groupBy("source_id").applyInPandas(run, PARTS)
+    dealt = rows.select("source_id", order, payload).repartition("source_id")
+    return dealt.sortWithinPartitions("source_id", F.col(order).asc_nulls_last()).mapInArrow(run, PARTS)
 
 
 def to_cci(sectors: DataFrame, cap: int = X.CCI_CAP) -> DataFrame:
     """From (source_id, sector_no, data)."""
-    return assemble(sectors, "sector_no", lambda s, g: named(s, X.write_cci(b"".join(g["data"]), cap), "cci"))
+    return assemble(sectors, "sector_no", "data", lambda s, g: named(s, X.write_cci(b"".join(g["data"]), cap), "cci"))
 
 
 def to_ciso(sectors: DataFrame, cap: int = X.CISO_CAP) -> DataFrame:
-    return assemble(sectors, "sector_no", lambda s, g: named(s, X.write_ciso(b"".join(g["data"]), cap), "cso"))
+    return assemble(sectors, "sector_no", "data", lambda s, g: named(s, X.write_ciso(b"".join(g["data"]), cap), "cso"))
 
 
 def to_raw(sectors: DataFrame, cap: int = X.RAW_CAP) -> DataFrame:
-    return assemble(sectors, "sector_no", lambda s, g: named(s, X.split_raw(b"".join(g["data"]), cap), "xiso.iso"))
+    return assemble(sectors, "sector_no", "data", lambda s, g: named(s, X.split_raw(b"".join(g["data"]), cap), "xiso.iso"))
 
 
 def to_archive(files: DataFrame) -> DataFrame:
     """From (source_id, path, content)."""
-    return assemble(files, "path", lambda s, g: named(s, [X.write_zar(dict(zip(g["path"], map(bytes, g["content"]))))], "zar"))
+    return assemble(files, "path", "content", lambda s, g: named(s, [X.write_zar(dict(zip(g["path"], map(bytes, g["content"]))))], "zar"))
 
 
 def to_volume(files: DataFrame) -> DataFrame:
     """Whole images of the files of each source; a folder must fit in a sector."""
-    return assemble(files, "path", lambda s, g: [(f"{s}.iso", len(p), p) for p in [X.write_volume(dict(zip(g["path"], map(bytes, g["content"]))))]])
+    return assemble(files, "path", "content", lambda s, g: [(f"{s}.iso", len(p), p) for p in [X.write_volume(dict(zip(g["path"], map(bytes, g["content"]))))]])
 
 
 def without_updates(files: DataFrame, path: str = "path") -> DataFrame:
@@ -71,7 +75,7 @@ def zero_unused(sectors: DataFrame, used: DataFrame) -> DataFrame:
 
 def to_hash_tree(sectors: DataFrame) -> DataFrame:
     """Parts Data0000, Data0001, … of a hash-tree container."""
-    return assemble(sectors, "sector_no", lambda s, g: [(f"Data{i:04d}", len(p), p) for i, p in enumerate(X.write_god(b"".join(g["data"]))[0])])
+    return assemble(sectors, "sector_no", "data", lambda s, g: [(f"Data{i:04d}", len(p), p) for i, p in enumerate(X.write_god(b"".join(g["data"]))[0])])
 
 
 def to_god(images: DataFrame) -> DataFrame:
@@ -126,4 +130,4 @@ def stream(parts: DataFrame, size: int = 64 * X.SECTOR, progress: Callable[[int,
 
 
 def to_package(files: DataFrame) -> DataFrame:
-    return assemble(files, "path", lambda s, g: [(f"{s}.pkg", len(p), p) for p in [X.write_stfs(dict(zip(g["path"], map(bytes, g["content"]))), name=s)]])
+    return assemble(files, "path", "content", lambda s, g: [(f"{s}.pkg", len(p), p) for p in [X.write_stfs(dict(zip(g["path"], map(bytes, g["content"]))), name=s)]])

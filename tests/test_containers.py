@@ -2,11 +2,13 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+import __spark_entry__ as entry
 from blockloom.functions import codecs
 from blockloom.operators import batch_scan
-from blockloom.sources import containers, formats, sinks, streams
+from blockloom.sources import batches, containers, formats, sinks, streams
 from blockloom.streaming.early import watch
 
 
@@ -411,6 +413,56 @@ def test_raw_parts_beyond_nine_keep_their_order(spark):
         assert [bytes(r.data) for r in containers.sectors(parts).orderBy("sector_no").collect()] == [data[i : i + 2048] for i in range(0, len(data), 2048)]
 
 
+def test_sectors_makes_parts_once(spark):
+    """Parts are taken from one exchange by what looks at their headers and by both ways of reading them."""
+    made, data = spark.sparkContext.accumulator(0), random.Random(8).randbytes(9 * 2048)
+
+    def make(given):
+        for batch in given:
+            for s in batch.column("id").to_pylist():
+                parts = formats.write_ciso(data, 6000) if s % 3 == 0 else formats.write_cci(data, 6000) if s % 3 == 1 else formats.split_raw(data, 6144)
+                made.add(len(parts))
+                yield pa.RecordBatch.from_pylist([{"source_id": str(s), "name": f"g.{i + 1}.x", "content": p} for i, p in enumerate(parts)])
+
+    found = containers.sectors(spark.range(9).mapInArrow(make, "source_id string, name string, content binary")).collect()
+    for s in range(9):
+        assert b"".join(bytes(r.data) for r in sorted((r for r in found if r.source_id == str(s)), key=lambda r: r.sector_no)) == data
+    assert made.value == 3 * sum(len(p) for p in (formats.write_ciso(data, 6000), formats.write_cci(data, 6000), formats.split_raw(data, 6144)))
+
+
+def test_many_sources_go_through_a_task(spark, sf):
+    """Writers and readers take sources out of a stream of sorted rows, whatever batches it comes in, and not by a call each."""
+    plan = entry.queries()["q_sector_round_trip"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+    images = {f"s{n}": random.Random(n).randbytes(2048 * (n % 5 + 1)) for n in range(40)} | {None: bytes(2048 * 3)}
+    rows = [(k, i, v[i * 2048 :][:2048]) for k, v in images.items() for i in range(len(v) // 2048)]
+    cut = spark.createDataFrame(rows, "source_id string, sector_no long, data binary").repartition(5)
+    for most in (1, 3, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            for parts in (sinks.to_ciso(cut, 3000), sinks.to_raw(cut, 4096), sinks.to_cci(cut, 3000)):
+                got = {}
+                for r in sorted(containers.sectors(parts).collect(), key=lambda r: r.sector_no):
+                    assert r.status == "ok"
+                    got[r.source_id] = got.get(r.source_id, b"") + bytes(r.data)
+                assert got == images
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_batches_by_key():
+    keys, rng = [None, "a", "a", "b", "c", "c", "c", "d"], random.Random(2)
+    data = [rng.randbytes(9) for _ in keys[1:]] + [None]
+    table = pa.table({"k": pa.array(keys, pa.string()), "n": pa.array(range(len(keys))), "data": pa.array(data, pa.binary())})
+    for size in range(1, len(keys) + 1):
+        found = list(batches.by_key([pa.RecordBatch.from_pylist([], table.schema), *table.to_batches(size)], "k"))
+        assert [k for k, _ in found] == [None, "a", "b", "c", "d"] and [n for _, g in found for n in g["n"]] == list(range(len(keys))) and [d for _, g in found for d in g["data"]] == data
+    rows = [(i, bytes(rng.choice((0, 9, 3 << 20, 9 << 20)))) for i in range(60)] + [(i, b"") for i in range(60, 10_000)]
+    out = list(batches.batched(iter(rows), pa.schema([("i", pa.int64()), ("b", pa.binary())])))
+    assert [(r["i"], r["b"]) for b in out for r in b.to_pylist()] == rows
+    assert all(b.num_rows <= batches.MOST_ROWS and (b.num_rows == 1 or sum(len(x.as_py()) for x in b.column("b")[: b.num_rows - 1]) < batches.MOST_BYTES) for b in out)
+
+
 def test_textures_and_sections():
     body = bytes(range(64))
     head = lambda code, side, flags=0x40001, size=36 + 64: b"XPR0" + struct.pack("<IIIII", size, 36, flags, 0, 0) + struct.pack("<BBBBII", 0, code, 0, side, 0, 0xFFFFFFFF)
