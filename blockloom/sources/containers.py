@@ -48,9 +48,10 @@ def numbered(parts: DataFrame) -> DataFrame:
     return parts.withColumn("part_no", F.row_number().over(W.partitionBy("source_id").orderBy(part_order())) - 1)
 
 
-def parsed(parts: DataFrame, rows: Callable[[list[str], list[bytes]], list[tuple]], columns: str) -> DataFrame:
+def parsed(parts: DataFrame, rows: Callable[[list[str], list[bytes]], list[tuple]], columns: str, together: bool = False) -> DataFrame:
     """Runs a parser over each source's ordered parts; columns are those of its rows, with status and reason after them. Many
-    sources go through a task in one stream."""
+    sources go through a task in one stream. Parts of a source that are together in one partition, as the writers leave them,
+    are parsed there, without an exchange."""
     columns = f"source_id string, {columns}, status string, reason string"
     schema = schema_of(columns)
 
@@ -68,7 +69,8 @@ def parsed(parts: DataFrame, rows: Callable[[list[str], list[bytes]], list[tuple
 
         yield from batched(out(), schema)
 
-    dealt = parts.select("source_id", "name", "content").repartition("source_id")
+    dealt = parts.select("source_id", "name", "content")
+    dealt = dealt if together else dealt.repartition("source_id")
     return dealt.sortWithinPartitions("source_id", part_order()).mapInArrow(run, columns)
 
 
@@ -111,12 +113,16 @@ def read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batched(rows(), pa.schema(list(zip(("source_id", "sector_no", "data", "status", "reason"), kinds))))
 
 
-def sectors(parts: DataFrame) -> DataFrame:
+def sectors(parts: DataFrame, together: bool = False) -> DataFrame:
     """(source_id, sector_no, data) of image containers. Parts that can be read without the others, of a source whose parts
     all have their own index or are raw and of whole sectors, are read one by one in any task, their place being known from
     their headers and sizes. Other sources are read whole. Parts are made once: what looks at their headers and both ways of
     reading take them from one exchange. Its two columns are all needed by each, and its key is a struct, which is never null, so
-    neither a column left out nor a filter makes the plans below it differ."""
+    neither a column left out nor a filter makes the plans below it differ. Sources whose parts are together in one partition,
+    as the writers leave them, are read there and whole."""
+    cut = lambda names, data: [(i // X.SECTOR, image[i : i + X.SECTOR]) for image in [image_of(data)] for i in range(0, len(image), X.SECTOR)]
+    if together:
+        return parsed(parts, cut, "sector_no long, data binary", together)
     size = F.octet_length("content").cast("long")
     held = u32_le(F.col("content"), F.lit(8)) + u32_le(F.col("content"), F.lit(12)) * (1 << 32)
     dealt = parts.select(F.struct("source_id", "name").alias("_part"), "content").repartition("_part")
@@ -129,8 +135,7 @@ def sectors(parts: DataFrame) -> DataFrame:
     place = heads.groupBy("_part").agg(F.min(F.struct("alone", "start", "format")).alias("at"))
     placed = dealt.join(place, "_part")
     alone = placed.where("at.alone").select("_part.source_id", "at.start", "at.format", "content").mapInArrow(read_part, SECTORS)
-    cut = lambda image: [(i // X.SECTOR, image[i : i + X.SECTOR]) for i in range(0, len(image), X.SECTOR)]
-    return alone.unionByName(parsed(placed.where("NOT at.alone").select("_part.*", "content"), lambda names, data: cut(image_of(data)), "sector_no long, data binary"))
+    return alone.unionByName(parsed(placed.where("NOT at.alone").select("_part.*", "content"), cut, "sector_no long, data binary"))
 
 
 def index(parts: DataFrame) -> DataFrame:

@@ -433,7 +433,9 @@ def test_sectors_makes_parts_once(spark):
 def test_many_sources_go_through_a_task(spark, sf):
     """Writers and readers take sources out of a stream of sorted rows, whatever batches it comes in, and not by a call each."""
     plan = entry.queries()["q_sector_round_trip"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "InPandas" not in plan and "MapInArrow" in plan
+    assert "InPandas" not in plan and "MapInArrow" in plan and "Join" not in plan
+    sectors, parts = (plan.count(f"Exchange hashpartitioning({k}") for k in ("source_id", "_part"))
+    assert sectors == 3 and parts == 0  # parts are read where they were written
     images = {f"s{n}": random.Random(n).randbytes(2048 * (n % 5 + 1)) for n in range(40)} | {None: bytes(2048 * 3)}
     rows = [(k, i, v[i * 2048 :][:2048]) for k, v in images.items() for i in range(len(v) // 2048)]
     cut = spark.createDataFrame(rows, "source_id string, sector_no long, data binary").repartition(5)
@@ -441,11 +443,12 @@ def test_many_sources_go_through_a_task(spark, sf):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
         try:
             for parts in (sinks.to_ciso(cut, 3000), sinks.to_raw(cut, 4096), sinks.to_cci(cut, 3000)):
-                got = {}
-                for r in sorted(containers.sectors(parts).collect(), key=lambda r: r.sector_no):
-                    assert r.status == "ok"
-                    got[r.source_id] = got.get(r.source_id, b"") + bytes(r.data)
-                assert got == images
+                for together in (False, True):
+                    got = {}
+                    for r in sorted(containers.sectors(parts, together).collect(), key=lambda r: r.sector_no):
+                        assert r.status == "ok"
+                        got[r.source_id] = got.get(r.source_id, b"") + bytes(r.data)
+                    assert got == images
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
